@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality
+from . import bpe, exact_dedup, mixing, quality, simhash, token_counts
 from .scratch import keep
 from .sql import SQL
 
@@ -29,5 +31,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op7_exact_dedup, op10_mixing)}
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed vocabulary files are; RAINLOOM_TOKENIZERS names another folder."""
+    folder = os.environ.get("RAINLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(documents(spark, sf_dir), vocabulary_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path())
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_token_counts, op6_simhash, op7_exact_dedup, op10_mixing)}
 __all__ = ["QUERIES", "SQL"]
