@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, simhash, token_counts
+from . import bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts
+from .ranks import deal
 from .scratch import keep
 from .sql import SQL
 
@@ -25,6 +26,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_map(documents(spark, sf_dir))
 
 
+#: The layout that op9 starts from: so many shards, by a hash of doc_id.
+OLD_SHARDS = 5
+NEW_SHARDS = 8
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_wide_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.with_sizes(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", deal(F.col("doc_id"), OLD_SHARDS).cast("int").alias("old_shard"))
+    out = sharding.reshard(rows, NEW_SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keep(mixing.sized(documents(spark, sf_dir)).select("doc_id", "source", "size"), "sizes")
     out = mixing.systematic_mix(rows, rows.count())
@@ -54,5 +71,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_token_counts, op6_simhash, op7_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_token_counts, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_resharding, op10_mixing)}
 __all__ = ["QUERIES", "SQL"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import UPPER
+from .line_dedup import MIN_SITES
 from .mixing import SEED, WEIGHTS
 from .quality import MAX_HOST_RATE, PRIOR
 
@@ -61,4 +62,17 @@ k AS (SELECT *, CAST(floor(rank * expected + u) - floor((rank - 1) * expected +
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM k
 """
 
-SQL = {"op2_quality_rules": OP2, "op7_exact_dedup": OP7, "op10_mixing": OP10}
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+w AS (
+  SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+  HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= {MIN_SITES}),
+c AS (
+  SELECT r, count(*) FILTER (WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]')) AS n_lines, count(w.line) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE w.line IS NULL), '') AS text
+  FROM l LEFT JOIN w ON l.line = w.line GROUP BY r)
+SELECT doc_id, n_lines, n_removed, sha256(c.text) AS text_sha256 FROM d JOIN c ON c.r = d.r
+"""
+
+SQL = {"op8_line_dedup": OP8, "op2_quality_rules": OP2, "op7_exact_dedup": OP7, "op10_mixing": OP10}
