@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality, sharding, simhash, token_counts
+from . import bpe, exact_dedup, line_dedup, mixing, paragraph_dedup, quality, sharding, simhash, token_counts
 from .ranks import deal
 from .scratch import keep
 from .sql import SQL
@@ -17,6 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = paragraph_dedup.by_document(docs, paragraph_dedup.repeats(docs)).drop("text")
+    spans = F.array_join(F.transform("removals", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", "n_paragraphs", "n_repeated", F.size("removals").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.array_distinct(F.transform("removals", lambda x: x["first_doc"])).alias("first_docs"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
@@ -71,5 +78,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_bpe, op5_token_counts, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_resharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_dedup, op2_quality_rules, op3_bpe, op5_token_counts, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_resharding, op10_mixing)}
 __all__ = ["QUERIES", "SQL"]
