@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, paragraph_dedup, quality, sharding, simhash, token_counts
+from . import bpe, exact_dedup, line_dedup, mixing, paragraph_dedup, pii, quality, sharding, simhash, token_counts
 from .ranks import deal
 from .scratch import keep
 from .sql import SQL
@@ -69,6 +69,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)]
+    return out.select("doc_id", *counts, F.sha2(pii.spelled("base").cast("binary"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary_path())
 
@@ -78,5 +84,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_dedup, op2_quality_rules, op3_bpe, op5_token_counts, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_resharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_dedup, op2_quality_rules, op3_bpe, op4_pii, op5_token_counts, op6_simhash, op7_exact_dedup, op8_line_dedup, op9_resharding, op10_mixing)}
 __all__ = ["QUERIES", "SQL"]
