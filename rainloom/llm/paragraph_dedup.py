@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import link_buckets, shared_buckets, similar
 from .common import text_of, with_group
-from .components import components
 from .scratch import keep
 
 MIN_WORDS = 20
@@ -109,31 +109,11 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, start long, end long, id long, shingles array<long>, bands array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows (u, v) of ``pairs`` whose shingle sets have at least that Jaccard similarity."""
-    left, right = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    # A pair of sizes that cannot reach the similarity is dropped before the sets meet.
-    both = pairs.join(left, "u").join(right, "v").filter(F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * similarity)
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= (F.size("a") + F.size("b") - common) * similarity).select("u", "v")
-
-
 def linked(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (node, root): components of the paragraphs (id, n, shingles, bands) with a link."""
-    keys = distinct.select("id", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", F.struct("n", "id")).alias("leader")).filter("size > 1")
-    members = keep(with_group(keys, keep(shared, "buckets"), ["key"], "size", keys.count()).filter("size is not null").select("key", "id", "leader"), "members")
+    members = shared_buckets(distinct.select("id", "n", F.explode("bands").alias("key")))
     sets = keep(distinct.join(members.select("id").distinct(), "id", "left_semi").select("id", "shingles"), "sets")
-    first = keep(similar(members.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), sets, similarity), "first")
-    roots = components(first)
-    others = members.filter("id <> leader").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = keep(others.join(open_keys, "key", "left_semi"), "rest")
-    if rest.isEmpty():
-        return roots
-    a, b = rest.select("key", F.col("id").alias("u"), F.col("root").alias("ru")), rest.select("key", F.col("id").alias("v"), F.col("root").alias("rv"))
-    second = similar(a.join(b, "key").filter("ru < rv").select("u", "v").distinct(), sets, similarity)
-    return components(first.unionByName(second))
+    return link_buckets(members, lambda pairs: similar(pairs, sets, similarity))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -181,4 +161,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = out.withColumn("__b", bounds)
     to = lambda k: F.coalesce(F.get(F.col("__b"), k + 1)["start"], F.char_length("text").cast("long"))
     pieces = F.transform("__b", lambda x, k: F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.greatest(to(k) - x["end"], F.lit(0)).cast("int")))
-    return out.select("doc_id", "n_paragraphs", "n_repeated", "removals", F.rtrim(F.array_join(pieces, ""), F.lit("\n")).alias("text"))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", "removals", F.array_join(pieces, "").alias("text"))
