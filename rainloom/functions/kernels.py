@@ -156,7 +156,7 @@ def pearson3_fit(x: np.ndarray) -> tuple[float, float, float]:
     start = np.array([skew, float(x.mean()), math.log(sd)])
     if pearson3_nll(start, x) >= 1e100:
         start[0] = math.copysign(min(abs(skew), 0.9 * 2 * sd / max(1e-12, abs(float((x.mean() - x.min()) if skew > 0 else (x.max() - x.mean()))))), skew)
-    p, _ = nelder_mead(lambda q: pearson3_nll(q, x), start)
+    p, _ = nelder_mead(lambda q: pearson3_nll(q, x), start, tolerance=1e-6, rounds=600)
     return float(p[0]), float(p[1]), math.exp(float(p[2]))
 
 
@@ -173,11 +173,14 @@ def loglogistic_fit(x: np.ndarray) -> tuple[float, float, float]:
         return NAN, NAN, NAN
 
     def nll(p: np.ndarray) -> float:
-        c, gap, s = math.exp(min(p[0], 50)), math.exp(min(p[1], 50)), math.exp(min(p[2], 50))
-        z = np.log((x - low + gap) / s)
-        return float(-np.sum(np.log(c / s) + (c - 1) * z - 2 * np.logaddexp(0, c * z)))
+        # Shape, gap below the smallest value and scale, as logarithms; a gap of nothing is unbounded.
+        if abs(p[0]) > 12 or abs(p[1] - math.log(spread)) > 12 or abs(p[2] - math.log(spread)) > 12:
+            return 1e100
+        c = math.exp(p[0])
+        z = np.log(x - low + math.exp(p[1])) - p[2]
+        return float(-np.sum(p[0] - p[2] + (c - 1) * z - 2 * np.logaddexp(0, c * z)))
 
-    p, _ = nelder_mead(nll, np.array([math.log(3.0), math.log(spread), math.log(2 * spread)]))
+    p, _ = nelder_mead(nll, np.array([math.log(3.0), math.log(spread), math.log(2 * spread)]), tolerance=1e-6, rounds=600)
     return math.exp(p[0]), low - math.exp(p[1]), math.exp(p[2])
 
 

@@ -68,7 +68,7 @@ def per_series(df: DataFrame, keys: Sequence[str], work, schema: str) -> DataFra
             out.insert(n, k, pdf[k].iloc[0])
         return out
 
-    grouped = df.groupBy(*keys) if keys else df.groupBy(F.lit(0))
+    grouped = df.groupBy(*keys) if keys else df.withColumn("__all", F.lit("")).groupBy("__all")
     return grouped.applyInPandas(run, f"{head}, {schema}" if head else schema)
 
 

@@ -17,12 +17,12 @@ from .tagging import classification_metrics
 def make_classifier(model: str = "random_forest", *, random_state: int = 0, classes: int = 2, **options: object):
     """random_forest, gradient_boosting (one against the rest beyond two classes) or logistic."""
     kind = model.lower().replace("hist_", "")
-    held = {"featuresCol": "features", "labelCol": "y", "weightCol": "w"}
+    held = {"featuresCol": "features", "labelCol": "y", "weightCol": "w", "predictionCol": "y_hat", "rawPredictionCol": "y_raw", "probabilityCol": "y_probability"}
     if kind in ("random_forest", "rf"):
         return RandomForestClassifier(seed=random_state, **held | {"numTrees": 100, "minInstancesPerNode": 2, "maxDepth": 10} | options)
     if kind in ("gradient_boosting", "xgboost", "xgb", "gbt"):
         gbt = GBTClassifier(seed=random_state, **held | {"maxIter": 40, "stepSize": 0.1, "maxDepth": 5} | options)
-        return gbt if classes <= 2 else OneVsRest(classifier=gbt, featuresCol="features", labelCol="y", weightCol="w")
+        return gbt if classes <= 2 else OneVsRest(classifier=gbt, featuresCol="features", labelCol="y", weightCol="w", predictionCol="y_hat")
     if kind == "logistic":
         return LogisticRegression(**held | options)
     raise ValueError(f"unknown model {model!r}")
@@ -36,7 +36,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_classifier(df: DataFrame, features: Sequence[str], label: str, model: str = "random_forest", *, calibrate: bool = False, random_state: int = 0, **options: object) -> PipelineModel:
-    """A fitted pipeline that adds predicted (the label) and probability.
+    """A fitted pipeline that adds predicted (the label); ``predict`` adds its probability.
 
     ``calibrate`` puts a logistic model over the scores of a two-class model on held-out rows.
     """
@@ -59,11 +59,11 @@ def fit_classifier(df: DataFrame, features: Sequence[str], label: str, model: st
         platt = Pipeline(stages=[scaler, LogisticRegression(featuresCol="__scores", labelCol="y", predictionCol="__p", rawPredictionCol="__r", probabilityCol="calibrated")]).fit(scored)
         fitted = PipelineModel([*base.stages, *platt.stages])
     labels = fitted.stages[0].labels
-    return PipelineModel([*fitted.stages, IndexToString(inputCol="prediction", outputCol="predicted", labels=[*labels, "?"])])
+    return PipelineModel([*fitted.stages, IndexToString(inputCol="y_hat", outputCol="predicted", labels=[*labels, "?"])])
 
 
 def _scored(df: DataFrame) -> DataFrame:
-    return df.withColumn("__score", vector_to_array("probability")[1])
+    return df.withColumn("__score", vector_to_array("y_probability")[1])
 
 
 def predict(fitted: PipelineModel, df: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def predict(fitted: PipelineModel, df: DataFrame) -> DataFrame:
         if kind == "VectorAssembler" and stage.getOutputCol() == "__scores":
             out = _scored(out)
         out = stage.transform(out)
-    source = "calibrated" if "calibrated" in out.columns else "probability" if "probability" in out.columns else None
+    source = "calibrated" if "calibrated" in out.columns else "y_probability" if "y_probability" in out.columns else None
     return out.withColumn("positive", vector_to_array(source)[1]) if source else out
 
 
@@ -112,12 +112,15 @@ def permutation_importance(fitted: PipelineModel, df: DataFrame, features: Seque
     """Rows (feature, importance_mean, importance_std): the fall of the metric when a column is shuffled."""
     spark = df.sparkSession
     base = classification_metrics(predict(fitted, df), truth=label).first()[metric]
-    numbered = df.select(*features, label).withColumn("__k", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).persist()
+    # Values are exchanged among the rows of a partition, which are a random part of all rows.
+    place = ["__part", "__k"]
+    part = df.select(*features, label).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("__part", F.spark_partition_id()).persist()
+    numbered = part.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*features))).persist()
     rows = []
     for f in features:
         for r in range(n_repeats):
-            seed = random_state + 1000 * r
-            other = numbered.select(F.col(f).alias("__v"), F.row_number().over(Window.orderBy(F.rand(seed))).alias("__k"))
-            shuffled = numbered.drop(f).join(other, "__k").withColumnRenamed("__v", f)
+            turn = Window.partitionBy("__part").orderBy(F.rand(random_state + 1000 * r))
+            other = numbered.select("__part", F.col(f).alias("__v"), F.row_number().over(turn).alias("__k"))
+            shuffled = numbered.drop(f).join(other, place).withColumnRenamed("__v", f)
             rows.append((f, base - classification_metrics(predict(fitted, shuffled), truth=label).first()[metric]))
     return spark.createDataFrame(rows, "feature string, drop double").groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
