@@ -34,7 +34,11 @@ class ClimateSchema:
 def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     """NaN becomes null, the only missing value from there on; all floating columns by default."""
     floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns or floating})
+    out = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns or floating})
+    for c in columns or floating:
+        if df.schema[c].metadata:
+            out = out.withMetadata(c, dict(df.schema[c].metadata))
+    return out
 
 
 def metadata(df: DataFrame, column: str) -> dict:

@@ -91,7 +91,8 @@ def _edges(df: DataFrame, axis: str) -> DataFrame:
     before, after = F.lag(axis).over(order), F.lead(axis).over(order)
     x = F.col(axis)
     half_low, half_high = (x - before) / 2, (after - x) / 2
-    return points.select(axis, (x - F.coalesce(half_low, half_high)).alias("lo"), (x + F.coalesce(half_high, half_low)).alias("hi"))
+    # A lone coordinate stands for one degree.
+    return points.select(axis, (x - F.coalesce(half_low, half_high, F.lit(0.5))).alias("lo"), (x + F.coalesce(half_high, half_low, F.lit(0.5))).alias("hi"))
 
 
 def _conservative(df: DataFrame, target: DataFrame, value: str, lat: str, lon: str, keys: Sequence[str]) -> DataFrame:

@@ -544,7 +544,7 @@ def modified_mann_kendall(spark, d):
     return trends.modified_mann_kendall(views.annual(spark, d), keys=["series"])
 
 
-@register("series", "slope", "+z AS (SELECT series, year(time) AS sy, CASE WHEN count(value) >= 92 THEN sum(value) END AS value FROM daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL), y AS (SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY sy) AS k FROM z WHERE value IS NOT NULL) SELECT a.series, median((b.value - a.value) / (b.k - a.k)) AS slope FROM y a JOIN y b ON a.series = b.series AND a.k < b.k GROUP BY a.series", "daily")
+@register("series", "slope", "+z AS (SELECT series, year(time) AS sy, CASE WHEN count(value) >= 92 THEN sum(value) END AS value FROM daily WHERE month(time) IN (6, 7, 8) GROUP BY ALL), y AS (SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY sy) AS k FROM z WHERE value IS NOT NULL), p AS (SELECT a.series, median((b.value - a.value) / (b.k - a.k)) AS slope FROM y a JOIN y b ON a.series = b.series AND a.k < b.k GROUP BY a.series) SELECT g.series, slope FROM (SELECT DISTINCT series FROM z) g LEFT JOIN p ON p.series = g.series", "daily")
 def seasonal_sen_slope(spark, d):
     return trends.seasonal_sen_slope(views.daily(spark, d), "JJA", keys=["series"])
 
