@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, mixing, paragraph_dedup, pii, quality, sharding, simhash, token_counts
@@ -71,7 +71,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.personal_data(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(pii.BASE)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    counts = map(count, range(pii.BASE))
     return out.select("doc_id", *counts, F.sha2(pii.spelled("base").cast("binary"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
 
 
