@@ -1,40 +1,110 @@
 """Links between the members of hash buckets, without pairing a bucket up.
 
-Every member is compared with the bucket's most frequent one; after that only members that are
-still in different components are paired.  A bucket of near copies, however large, so costs one
-comparison for each, and every link between different components is still tested.
+Every member is compared with the bucket's most frequent one, which connects a bucket of near
+copies, however large, at one comparison for each.  What stays unconnected meets again by the
+rarest shingles of each set (prefix filtering), which loses no similar pair: again first with a
+leader, and only then in pairs of different components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_group
 from .components import components
 from .scratch import keep
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """Rows (key, id, leader): the members of buckets (id, n, key) with two members or more."""
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", F.struct("n", "id")).alias("leader")).filter("size > 1")
-    return keep(with_group(keys, keep(shared, "buckets"), ["key"], "size", keys.count()).filter("size is not null").select("key", "id", "leader"), "members")
+    """Rows (key, id, leader): the members of buckets (id, n, key) with two members or more.
 
+    Keys are shuffled once and read in order, the most frequent member of a bucket first, so a
+    bucket of any size streams through its task; single members, which are most, go no further.
+    """
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows (node, root): components of the pairs (u, v) in a bucket that ``verify`` lets through."""
-    first = keep(verify(members.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()), "first")
-    roots = components(first)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (key, leader, whether the leader has been given out) of the bucket at the end
+        for batch in batches:
+            keys, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if not len(keys):
+                continue
+            first = np.concatenate(([last is None or keys[0] != last[0]], keys[1:] != keys[:-1]))
+            starts = np.flatnonzero(first)
+            run = np.cumsum(first) - 1  # -1: still the bucket before
+            leaders = np.concatenate((ids[starts], [last[1] if last else 0]))[run]
+            sizes = np.bincount(run + 1, minlength=len(starts) + 1)
+            shared = sizes[run + 1] > 1
+            out_keys, out_ids, out_leaders = [], [], []
+            if sizes[0]:
+                shared |= run == -1
+                if not last[2]:
+                    out_keys, out_ids, out_leaders = [last[0]], [last[1]], [last[1]]
+            at = np.flatnonzero(shared)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.array(a, np.int64), b))) for a, b in ((out_keys, keys[at]), (out_ids, ids[at]), (out_leaders, leaders[at]))], ["key", "id", "leader"])
+            last = (keys[-1], leaders[-1], bool(shared[-1]))
+
+    ordered = keys.repartition("key").sortWithinPartitions("key", F.col("n").desc(), "id").select("key", "id")
+    return keep(ordered.mapInArrow(scan, "key long, id long, leader long"), "members")
+
+
+def _others(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, id, root): members beside the leader in buckets where those are not all connected."""
     others = members.filter("id <> leader").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     open_keys = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = keep(others.join(open_keys, "key", "left_semi"), "rest")
+    return others.join(open_keys, "key", "left_semi")
+
+
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    return members.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Rows (node, root): components of the pairs in a bucket that are similar.
+
+    ``verify`` lets the similar ones of pairs (u, v) through; ``sets_of`` gives rows (id, shingles)
+    of ids.  Ids that the leaders leave unconnected, often variants of one text that are like it
+    but not similar, meet again by ``prefix_keys``.
+    """
+    first = keep(verify(_leader_pairs(members)), "first")
+    roots = components(first)
+    rest = keep(_others(members, roots).select("id").distinct(), "rest")
     if rest.isEmpty():
         return roots
-    a, b = rest.select("key", F.col("id").alias("u"), F.col("root").alias("ru")), rest.select("key", F.col("id").alias("v"), F.col("root").alias("rv"))
-    second = verify(a.join(b, "key").filter("ru < rv").select("u", "v").distinct())
-    return components(first.unionByName(second))
+    sets = keep(sets_of(rest), "rest-sets")
+    again = shared_buckets(prefix_keys(sets, similarity))
+    second = keep(similar(_apart(_leader_pairs(again), roots), sets, similarity), "second")
+    roots = components(first.unionByName(second))
+    left = keep(_others(again, roots), "left")
+    if left.isEmpty():
+        return roots
+    a, b = left.select("key", F.col("id").alias("u"), F.col("root").alias("ru")), left.select("key", F.col("id").alias("v"), F.col("root").alias("rv"))
+    third = similar(a.join(b, "key").filter("ru < rv").select("u", "v").distinct(), sets, similarity)
+    return components(first.unionByName(second).unionByName(third))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that are not connected yet."""
+    for end in "uv":
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    return pairs.filter("ru <> rv").select("u", "v")
+
+
+def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows (id, n, key): the rarest members of each set, so many that similar sets share one.
+
+    Of sets of size n with Jaccard similarity s or more, the first n - ceil(s n) + 1 members in any
+    common order have one in common.  In the order of rarity these are what sets a variant apart,
+    so variants of a text that are not similar share none.
+    """
+    tokens = sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ranked = tokens.join(often, "key", "left").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "key")))
+    most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
+    return ranked.filter((F.col("k") <= most) & F.col("often").isNotNull()).select("id", F.col("size").cast("long").alias("n"), "key")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

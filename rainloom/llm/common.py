@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +50,21 @@ def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, t
         return out if how == "left_anti" else out.drop(*[f"__{k}" for k in keys])
 
     return on(rows, F.broadcast(heavy), "inner").unionByName(on(on(rows, F.broadcast(heavy), "left_anti"), light, "left"))
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named __d0, __d1 and so on, which no operator uses, and each one's new name."""
+    names = {c: f"__d{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def unshielded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Only the columns of the shielded table, under their own names."""
+    return df.select(*[F.col(v).alias(k) for k, v in names.items()])
+
+
+def small_parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches: what a worker holds as Python objects does not grow with a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

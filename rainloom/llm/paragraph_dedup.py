@@ -4,10 +4,8 @@ A paragraph is a line with at least MIN_WORDS words; A-Z are lower-cased and whi
 space.  Equal paragraphs have one id (a 64-bit hash).  Each distinct paragraph has a MinHash
 signature over the set of its five-word shingles, cut into BANDS bands of ROWS values: a pair of
 similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, one of 0.9 with
-probability 1 - 1e-6.  Buckets of a band are not paired up: every member is compared with the
-bucket's most frequent one, and after that only members that are still in different components
-are.  So each link of the exact Jaccard similarity that banding can see is kept, and a bucket of
-near copies, however large, costs one comparison for each of them.  Of each component the first
+probability 1 - 1e-6.  Buckets of a band are not paired up (see ``buckets``); each link of the exact
+Jaccard similarity that banding can see is kept.  Of each component the first
 occurrence, by document and place, stays, and all others are removals.
 """
 
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
-from .common import text_of, with_group
+from .common import small_parts, text_of, with_group
 from .scratch import keep
 
 MIN_WORDS = 20
@@ -33,6 +31,8 @@ SEED = 42
 _RNG = np.random.default_rng(SEED)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Up to so many ids (8 MB) are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Lines that are worked on together have at most so many shingles, unless one line has more.
 PART = 50_000
 
@@ -62,38 +62,36 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-FIELDS = [("doc_id", None), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
+def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
+    """(start, end, id, words) of the paragraphs of a text."""
+    at = 0
+    for line in (text or "").split("\n"):
+        words = line.encode().lower().split()
+        if len(words) >= min_words:
+            yield at, at + len(line), int(np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)), words
+        at += len(line) + 1
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, text_hash, start, end, id, shingles, bands); places are code points, end exclusive."""
+    """Rows (doc_id, text_hash, start, end, id, bands); places are code points, end exclusive."""
 
     def rows_of(ids, texts) -> Iterator[tuple]:
         for key, value in zip(ids, texts, strict=True):
             digest = None
-            at = 0
-            for line in (value or "").split("\n"):
-                words = line.encode().lower().split()
-                if len(words) >= min_words:
-                    if digest is None:
-                        digest = np.array(xxhash.xxh64_intdigest(value, 42), np.uint64).view(np.int64)
-                    name = np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)
-                    yield key, digest, at, at + len(line), name, shingle_hashes(words)
-                at += len(line) + 1
+            for start, end, name, words in lines_of(value, min_words):
+                if digest is None:
+                    digest = np.array(xxhash.xxh64_intdigest(value, 42), np.uint64).view(np.int64)
+                yield key, digest, start, end, name, shingle_hashes(words)
 
     def pack(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         sizes = np.array([len(r[5]) for r in rows])
-        starts = np.cumsum(sizes) - sizes
-        hashes = np.array([x for r in rows for x in r[5]], np.uint64)
-        bands = band_keys(hashes, starts)
-        offsets = pa.array(np.concatenate((starts, [len(hashes)])), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
+        bands = band_keys(np.array([x for r in rows for x in r[5]], np.uint64), np.cumsum(sizes) - sizes)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
         plain = [pa.array([r[0] for r in rows], kind), *(pa.array(np.array([r[k] for r in rows], np.int64)) for k in (1, 2, 3, 4))]
-        return pa.RecordBatch.from_arrays([*plain, lists, keys], [f for f, _ in FIELDS])
+        return pa.RecordBatch.from_arrays([*plain, lists], ["doc_id", "text_hash", "start", "end", "id", "bands"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             held, size = [], 0
             for row in rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(row)
@@ -106,14 +104,32 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, start long, end long, id long, shingles array<long>, bands array<long>")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, start long, end long, id long, bands array<long>")
 
 
-def linked(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (node, root): components of the paragraphs (id, n, shingles, bands) with a link."""
-    members = shared_buckets(distinct.select("id", "n", F.explode("bands").alias("key")))
-    sets = keep(distinct.join(members.select("id").distinct(), "id", "left_semi").select("id", "shingles"), "sets")
-    return link_buckets(members, lambda pairs: similar(pairs, sets, similarity))
+def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (id, shingles) of the paragraphs in ``ids``, from a second scan of the texts.
+
+    Up to BROADCAST_IDS ids are broadcast, so that other paragraphs go no further; more are joined
+    by shuffle.
+    """
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_parts(batches):
+            found = [(name, b" ".join(words)) for value in batch.column(0).to_pylist() for _, _, name, words in lines_of(value, min_words)]
+            for at in range(0, len(found), 5000):
+                part = found[at : at + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary())], ["id", "line"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_parts(batches):
+            hashes = [np.array(shingle_hashes(x.split(b" ")), np.uint64).view(np.int64) for x in batch.column(1).to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(h) for h in hashes], dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*hashes, np.empty(0, np.int64)])))], ["id", "shingles"])
+
+    rows = docs.selectExpr(f"`{text}` as text").mapInArrow(lines, "id long, line binary")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles array<long>")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -127,9 +143,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     """
     rows = keep(paragraphs(docs, doc_id, text, min_words), "paragraphs")
     places = rows.select("doc_id", "text_hash", "start", "end", "id")
-    distinct = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands")), "distinct")
-    roots = linked(distinct, similarity)
-    named = distinct.select("id", "n").join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component"))
+    distinct = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"))
+    members = shared_buckets(distinct.select("id", "n", F.explode("bands").alias("key")))
+    ids = keep(members.select("id").distinct(), "ids")
+    sets = keep(shingle_sets(docs, ids, text, min_words), "sets")
+    roots = link_buckets(members, lambda pairs: similar(pairs, sets, similarity), lambda some: sets.join(some, "id", "left_semi"), similarity)
+    counted = places.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    named = counted.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component"))
     total = rows.count()
     of = keep(with_group(places, keep(named, "named"), ["id"], "n", total).drop("n"), "of")
     by_doc = of.groupBy("component", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
