@@ -7,10 +7,16 @@ similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 14 = 0.9994,
 probability 1 - 1e-6.  Buckets of a band are not paired up (see ``buckets``); each link of the exact
 Jaccard similarity that banding can see is kept.  Of each component the first
 occurrence, by document and place, stays, and all others are removals.
+
+Passages can also stand inside other paragraphs.  For those a document has blocks of 15 words at
+anchors that only the words around them decide; equal blocks are one component, so any passage of
+50 words is found wherever it stands and however its lines are cut.  Most blocks occur once: the
+two-pass Bloom filter of ``exact_dedup`` keeps them from being shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +27,16 @@ from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
 from .common import small_parts, text_of, with_group
+from .exact_dedup import filter_bits, probe, repeat_filter
 from .scratch import keep
 
 MIN_WORDS = 20
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Blocks of so many words, at the least of so many shingles in a row: passages of 50 words and more.
+BLOCK, WINDOW = 15, 32
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,8 +47,8 @@ BROADCAST_IDS = 1_000_000
 PART = 50_000
 
 
-def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
-    """Hashes of the distinct shingles of a paragraph, in order."""
+def ordered_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
+    """Hashes of the shingles of a paragraph in their order, repeats included."""
     digest = xxhash.xxh3_64_intdigest
     if len(words) <= size:
         return [digest(b" ".join(words))]
@@ -46,7 +56,33 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - size + 1
-    return sorted({digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)})
+    return [digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
+    """Hashes of the distinct shingles of a paragraph, sorted."""
+    return sorted(set(ordered_hashes(words, size)))
+
+
+def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, id) of the blocks of BLOCK words that begin at anchors, from ordered hashes.
+
+    Anchors are the least of every WINDOW shingles in a row (winnowing, the first if equal), so a
+    passage of WINDOW + BLOCK + 3 words that two texts share has a block of its own in both.
+    """
+    last = len(hashes) - (BLOCK - SHINGLE)
+    if last <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(hashes) <= WINDOW:
+        anchors = np.array([int(np.argmin(hashes))])
+    else:
+        anchors = np.unique(np.arange(len(hashes) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1))
+    anchors = anchors[anchors < last]
+    name = np.full(len(anchors), 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(0, BLOCK, SHINGLE):
+        name = (name ^ hashes[anchors + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        name ^= name >> np.uint64(31)
+    return anchors, name.view(np.int64)
 
 
 def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,40 +98,66 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(start, end, id, words) of the paragraphs of a text."""
-    at = 0
+def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
+    """(start, end, id, first word, words) of the paragraphs of a text."""
+    at = before = 0
     for line in (text or "").split("\n"):
         words = line.encode().lower().split()
         if len(words) >= min_words:
-            yield at, at + len(line), int(np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)), words
+            yield at, at + len(line), int(np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)), before, words
         at += len(line) + 1
+        before += len(words)
+
+
+def block_places(text: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, ids) of the blocks of a text, in code points."""
+    first, names = blocks(hashes)
+    if not len(first):
+        return first, first, names
+    starts, ends = (np.fromiter((at(m) for m in WORDS.finditer(text)), np.int64) for at in (re.Match.start, re.Match.end))
+    return starts[first], ends[first + BLOCK - 1], names
+
+
+NOTHING = np.empty(0, np.int64)
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, text_hash, start, end, id, bands); places are code points, end exclusive."""
+    """Rows (doc_id, text_hash, start, end, id, bands) of paragraphs, and one row (doc_id, text_hash,
+    start -1, block_starts, block_ends, block_ids) of each text with blocks.
+
+    Places are code points, end exclusive.
+    """
 
     def rows_of(ids, texts) -> Iterator[tuple]:
         for key, value in zip(ids, texts, strict=True):
-            digest = None
-            for start, end, name, words in lines_of(value, min_words):
-                if digest is None:
-                    digest = np.array(xxhash.xxh64_intdigest(value, 42), np.uint64).view(np.int64)
-                yield key, digest, start, end, name, shingle_hashes(words)
+            words = (value or "").encode().lower().split()
+            if len(words) < min(min_words, BLOCK):
+                continue
+            digest = np.array(xxhash.xxh64_intdigest(value, 42), np.uint64).view(np.int64)
+            hashes = np.array(ordered_hashes(words), np.uint64)
+            for start, end, name, first, own in lines_of(value, min_words):
+                shingles = hashes[first : first + len(own) - SHINGLE + 1] if len(own) > SHINGLE else np.array(ordered_hashes(own), np.uint64)
+                yield key, digest, start, end, name, NOTHING, NOTHING, NOTHING, np.unique(shingles)
+            if len(words) >= BLOCK:
+                yield key, digest, -1, -1, 0, *block_places(value, hashes), NOTHING.view(np.uint64)
 
     def pack(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        sizes = np.array([len(r[5]) for r in rows])
-        bands = band_keys(np.array([x for r in rows for x in r[5]], np.uint64), np.cumsum(sizes) - sizes)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
+        lines = [r for r in rows if len(r[-1])]
+        sizes = np.array([len(r[-1]) for r in lines], np.int64)
+        keys = band_keys(np.concatenate([r[-1] for r in lines]), np.cumsum(sizes) - sizes).reshape(-1) if lines else NOTHING
+        ends = np.cumsum([BANDS * bool(len(r[-1])) for r in rows])
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys, pa.int64()))]
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[5]) for r in rows]))), pa.int32())
+        lists += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]), t)) for k, t in ((5, pa.int32()), (6, pa.int32()), (7, pa.int64()))]
         plain = [pa.array([r[0] for r in rows], kind), *(pa.array(np.array([r[k] for r in rows], np.int64)) for k in (1, 2, 3, 4))]
-        return pa.RecordBatch.from_arrays([*plain, lists], ["doc_id", "text_hash", "start", "end", "id", "bands"])
+        return pa.RecordBatch.from_arrays([*plain, *lists], ["doc_id", "text_hash", "start", "end", "id", "bands", "block_starts", "block_ends", "block_ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
             held, size = [], 0
             for row in rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(row)
-                size += len(row[5])
+                size += len(row[-1])
                 if size >= PART:
                     yield pack(held, batch.column(0).type)
                     held, size = [], 0
@@ -104,7 +166,7 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, start long, end long, id long, bands array<long>")
+    return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, start long, end long, id long, bands array<long>, block_starts array<int>, block_ends array<int>, block_ids array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,7 +178,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            found = [(name, b" ".join(words)) for value in batch.column(0).to_pylist() for _, _, name, words in lines_of(value, min_words)]
+            found = [(name, b" ".join(words)) for value in batch.column(0).to_pylist() for _, _, name, _, words in lines_of(value, min_words)]
             for at in range(0, len(found), 5000):
                 part = found[at : at + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary())], ["id", "line"])
@@ -133,15 +195,17 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, text_hash, start, end, component, occurrences, first_doc, removed) by paragraph.
+    """Rows (doc_id, text_hash, start, end, component, occurrences, first_doc, removed, block).
 
+    One row for each paragraph, and one (block true) for each block that occurs twice or more.
     component is shared by paragraphs that links connect; occurrences counts its paragraphs;
     first_doc has the first one, by doc_id and place, and removed is true for all others.
     Texts that are null or empty have no paragraphs.  Repeated rows of a document share places:
     they are kept or removed alike.  A null doc_id is after all others.  Columns other than the
     two named are ignored; empty in, empty out.
     """
-    rows = keep(paragraphs(docs, doc_id, text, min_words), "paragraphs")
+    table = keep(paragraphs(docs, doc_id, text, min_words), "paragraphs")
+    rows = table.filter("start >= 0").select("doc_id", "text_hash", "start", "end", "id", "bands")
     places = rows.select("doc_id", "text_hash", "start", "end", "id")
     distinct = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"))
     members = shared_buckets(distinct.select("id", "n", F.explode("bands").alias("key")))
@@ -151,34 +215,65 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     counted = places.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     named = counted.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component"))
     total = rows.count()
-    of = keep(with_group(places, keep(named, "named"), ["id"], "n", total).drop("n"), "of")
+    of = keep(with_group(places, keep(named, "named"), ["id"], "n", total).drop("n", "id"), "of")
+    return first_stays(of, total).withColumn("block", F.lit(False)).unionByName(repeated_blocks(table))
+
+
+def repeated_blocks(table: DataFrame) -> DataFrame:
+    """The rows of ``repeats`` for blocks, from the table of ``paragraphs``."""
+    texts = table.filter("start < 0")
+    each = texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("block_starts", "block_ends", "block_ids")).alias("b"))
+    each = each.select("doc_id", "text_hash", F.col("b.block_starts").cast("long").alias("start"), F.col("b.block_ends").cast("long").alias("end"), F.col("b.block_ids").alias("component"))
+    total = texts.agg(F.coalesce(F.sum(F.size("block_ids")), F.lit(0))).first()[0]
+    bits = filter_bits(total)
+    possible = probe(each, keep(repeat_filter(each, bits, "component"), "bloom"), bits, "component").filter("maybe").drop("maybe")
+    return first_stays(keep(possible, "possible"), total).filter("occurrences > 1").withColumn("block", F.lit(True))
+
+
+def first_stays(of: DataFrame, total: int) -> DataFrame:
+    """``of``, rows with component, with occurrences, first_doc and removed (false for the first of each)."""
     by_doc = of.groupBy("component", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
     groups = by_doc.groupBy("component").agg(F.sum("n").alias("occurrences"), F.min("doc_id").alias("first_doc"), F.coalesce(F.min_by("start", "doc_id"), F.min("start")).alias("first_start"))
-    out = with_group(of, keep(groups, "groups"), ["component"], "occurrences", total)
+    out = with_group(of, keep(groups, "groups"), ["component"], "occurrences", max(1, total))
     stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))
-    return out.select("doc_id", "text_hash", "start", "end", "component", "occurrences", "first_doc", (~stays).alias("removed"))
+    return out.withColumn("removed", ~stays).drop("first_start")
 
 
 def by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` as (doc_id, text_hash, text) with n_paragraphs, n_repeated and the removals in order."""
+    """``docs`` as (doc_id, text_hash, text) with n_paragraphs, n_repeated, n_blocks and removals.
+
+    removals are the places to remove with the first document of each, in order; those of blocks
+    that overlap are one.
+    """
     span = F.struct("start", "end", "first_doc")
+    line = ~F.col("block")
     each = found.groupBy("doc_id", "text_hash").agg(
-        F.count_distinct("start").alias("n_paragraphs"),
-        F.count_distinct(F.when(F.col("occurrences") > 1, F.col("start"))).alias("n_repeated"),
-        F.array_sort(F.collect_set(F.when(F.col("removed"), span))).alias("removals"),
+        F.count_distinct(F.when(line, F.col("start"))).alias("n_paragraphs"),
+        F.count_distinct(F.when(line & (F.col("occurrences") > 1), F.col("start"))).alias("n_repeated"),
+        F.count_distinct(F.when(F.col("block"), F.col("start"))).alias("n_blocks"),
+        F.array_sort(F.collect_set(F.when(F.col("removed"), span))).alias("all"),
+    )
+    merged = F.aggregate(
+        F.slice("all", 2, F.size("all")),
+        F.slice("all", 1, 1),
+        lambda a, x: F.when(
+            x["start"] < F.element_at(a, -1)["end"],
+            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"), F.least(F.element_at(a, -1)["first_doc"], x["first_doc"]).alias("first_doc")))),
+        ).otherwise(F.concat(a, F.array(x))),
     )
-    each = each.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_paragraphs", "n_repeated", "removals")
+    each = each.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_paragraphs", "n_repeated", "n_blocks", F.when(F.size("all") > 1, merged).otherwise(F.col("all")).alias("removals"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     out = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").drop("__id", "__hash")
-    return out.withColumns({"n_paragraphs": F.coalesce("n_paragraphs", F.lit(0)), "n_repeated": F.coalesce("n_repeated", F.lit(0)), "removals": F.coalesce("removals", F.array().cast(each.schema["removals"].dataType))})
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_paragraphs", "n_repeated", "n_blocks")}
+    return out.withColumns(counts | {"removals": F.coalesce("removals", F.array().cast(each.schema["removals"].dataType))})
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_paragraphs, n_repeated, removals and the text without them."""
+    """One row per row of ``docs``: doc_id, n_paragraphs, n_repeated, n_blocks, removals and the text without them."""
     out = by_document(docs, repeats(docs, doc_id, text, similarity, min_words), doc_id, text)
-    # What stays are the pieces between removals; a removal takes its line end with it.
-    bounds = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.transform("removals", lambda x: F.struct(x["start"].alias("start"), (x["end"] + 1).alias("end"))))
+    # What stays are the pieces between removals; the removal of a line takes its end with it.
+    bounds = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.transform("removals", lambda x: F.struct(x["start"].alias("start"), (x["end"] + F.when(F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(1)) == "\n", 1).otherwise(0)).alias("end"))))
     out = out.withColumn("__b", bounds)
     to = lambda k: F.coalesce(F.get(F.col("__b"), k + 1)["start"], F.char_length("text").cast("long"))
     pieces = F.transform("__b", lambda x, k: F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.greatest(to(k) - x["end"], F.lit(0)).cast("int")))
-    return out.select("doc_id", "n_paragraphs", "n_repeated", "removals", F.array_join(pieces, "").alias("text"))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_blocks", "removals", F.array_join(pieces, "").alias("text"))

@@ -21,7 +21,7 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = paragraph_dedup.by_document(docs, paragraph_dedup.repeats(docs)).drop("text")
     spans = F.array_join(F.transform("removals", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
-    return out.select("doc_id", "n_paragraphs", "n_repeated", F.size("removals").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.array_distinct(F.transform("removals", lambda x: x["first_doc"])).alias("first_docs"))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_blocks", F.size("removals").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.array_distinct(F.transform("removals", lambda x: x["first_doc"])).alias("first_docs"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,10 +153,15 @@ def test_near_copies(spark):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()}
     want = H.jaccard_groups([H.shingles(r[1] or "") for r in rows])
     ids = [r[0] for r in rows]
-    joined = Counter()
-    for i, w in zip(ids, want, strict=True):
-        joined[got[i] == got[ids[w]]] += 1
-    assert joined[False] <= 0.01 * len(rows)
+    caught = {0.8: [], 0.85: []}
+    for i, t, _, _, _ in rows[150:450]:
+        base = (i - 1000) // 2
+        a, b = H.shingles(t), H.shingles(texts[base])
+        j = len(a & b) / len(a | b)
+        if j >= 0.8:
+            caught[0.85 if j >= 0.85 else 0.8].append(got[i] == got[base])
+    assert np.mean(caught[0.85]) >= 0.98 and np.mean(caught[0.8]) >= 0.85
+    assert len({got[5000 + k] for k in range(60)}) == 1
     found = {}
     for i, w in zip(ids, want, strict=True):
         found.setdefault(got[i], set()).add(w)
@@ -191,20 +196,40 @@ def test_paragraphs_equal_brute_force(spark):
     roots = H.jaccard_groups(sets)
     members = Counter(roots)
     want = {p: (members[r], places[r][0], r != n) for n, (p, r) in enumerate(zip(places, roots, strict=True))}
-    got = {(r.doc_id, r.start, r.end): (r.occurrences, r.first_doc, r.removed) for r in paragraph_dedup.repeats(df).collect()}
+    got = {(r.doc_id, r.start, r.end): (r.occurrences, r.first_doc, r.removed) for r in paragraph_dedup.repeats(df).filter("not block").collect()}
     assert got.keys() == want.keys()
     assert sum(got[k] != v for k, v in want.items()) <= 0.01 * len(want)
     for r in paragraph_dedup.remove_repeats(df).collect():
-        gone = {k[1] for k, v in got.items() if k[0] == r.doc_id and v[2]}
         at, kept = 0, []
-        for x in (texts[r.doc_id] or "").split("\n"):
-            if at not in gone:
-                kept.append(x)
-            at += len(x) + 1
-        assert r.text.rstrip("\n") == "\n".join(kept).rstrip("\n")
+        text = texts[r.doc_id] or ""
+        assert all(a.end <= b.start for a, b in zip(r.removals, r.removals[1:]))
+        assert {k[1] for k, v in got.items() if k[0] == r.doc_id and v[2]} <= {p for x in r.removals for p in range(x.start, x.end)}
+        for x in r.removals:
+            kept.append(text[at : x.start])
+            at = x.end + (text[x.end : x.end + 1] == "\n")
+        assert r.text == "".join(kept) + text[at:]
     assert paragraph_dedup.repeats(H.documents(spark, [])).count() == 0 and paragraph_dedup.remove_repeats(H.documents(spark, [])).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}{rng.choice(['', chr(10), '.', '.'])}" for _ in range(n))
+    passages = [prose(n) for n in (50, 51, 55, 70, 120, 400) for _ in range(5)]
+    texts, has = [], {}
+    for k, p in enumerate(passages):
+        for c in range(3):
+            has[len(texts)] = k
+            texts.append(f"{prose(rng.randrange(60))} {p.upper() if c == 1 else p} {prose(rng.randrange(60))}")
+    texts += [prose(300) for _ in range(60)]
+    out = {r.doc_id: r for r in paragraph_dedup.remove_repeats(H.docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert bool(out[i].n_blocks) == (i in has) and bool(out[i].removals) == (i in has and i % 3 > 0)
+        if i in has:
+            assert {x.first_doc for x in out[i].removals} <= set(range(i - i % 3, i))
+            at = t.lower().index(passages[has[i]].lower())
+            assert all(x.start < at + len(passages[has[i]]) and at < x.end for x in out[i].removals)
+
+
 @pytest.mark.skipif(not os.path.isdir(H.DATA), reason="no tables")
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
