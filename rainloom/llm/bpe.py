@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_parts
 from .vocabulary import Memo, Vocabulary, pieces, vocabulary
 
 ENDLESS = 1 << 60
@@ -30,9 +31,9 @@ class Encoder:
         for i, token in words.tokens.items():
             self.suffixes.add_word(token.decode("latin-1"), (i, len(token)))
         self.suffixes.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = Memo(self.compatible, 150_000)
         self.whole: dict[int, bool] = {}
-        self.ids_of = Memo(self.encode_piece)
+        self.ids_of = Memo(lambda piece: self.encode_piece(piece.encode()), longest=64)
         spelled = dict(words.tokens) | {i: s.encode() for s, i in words.specials.items()}
         spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
@@ -66,14 +67,9 @@ class Encoder:
                     return False
         return True
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self.undisturbed(left, right)
-        return known
+    def compatible(self, pair: int) -> bool:
+        """Whether the tokens pair >> 32 and pair & 0xFFFFFFFF encode to themselves side by side."""
+        return self.undisturbed(pair >> 32, pair & 0xFFFFFFFF)
 
     def is_whole(self, token: int) -> bool:
         """Whether the bytes of the token encode to the token alone."""
@@ -93,7 +89,7 @@ class Encoder:
             if end == done or not self.is_whole(token):
                 continue
             start = end - size
-            if start == 0 or last[start] >= 0 and self.compatible(last[start], token):
+            if start == 0 or last[start] >= 0 and self.fits[last[start] << 32 | token]:
                 last[end], back[end], done = token, start, end
         out = []
         while n:
@@ -152,7 +148,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in small_parts(batches):
             columns: dict[str, list] = {k: [] for k in outputs}
             for value in batch.column(1).to_pylist():
                 ids = coder.encode(value or "")
@@ -171,7 +167,7 @@ def decode_documents(encoded: DataFrame, path: str, doc_id: str = "doc_id", toke
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in small_parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coder.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     rows = encoded.selectExpr(f"`{doc_id}` as doc_id", f"`{token_ids}` as token_ids")

@@ -13,12 +13,13 @@ then more digests are shuffled, and the results are the same.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of, with_group
+from .common import ascii_lower, shielded, text_of, unshielded, with_group
 from .scratch import keep
 
 MAX_BITS = 1 << 28
@@ -97,7 +98,8 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Rows that the filter proves unique pass straight through; only possible repeats shuffle.
     The rules of ``duplicate_map`` hold; of rows with the same text and doc_id any one stays.
     """
-    columns = docs.columns
+    docs, names = shielded(docs)
+    doc_id, text = names[doc_id], names[text]
     digests = keep(docs.select(F.col(doc_id).alias("__id"), text_digest(text).alias("__sha")), "digests")
     rows = digests.count()
     bits = filter_bits(rows)
@@ -106,4 +108,5 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     flagged = probe(docs.withColumn("__sha", text_digest(text)), bitmaps, bits, "__sha")
     joined = with_group(flagged.filter("maybe").drop("maybe"), keep(groups, "groups"), ["__sha"], "__n", rows)
     best = joined.filter(F.col("__n").isNotNull() & F.col(doc_id).eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
-    return flagged.filter("not maybe").select(columns).unionByName(joined.filter("__n is null").select(columns)).unionByName(best.select(columns))
+    parts = flagged.filter("not maybe"), joined.filter("__n is null"), best
+    return functools.reduce(DataFrame.unionByName, [unshielded(p, names) for p in parts])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, word_count
+from .common import shielded, text_of, unshielded, word_count
 from .ranks import deal, deals, ranked, size_class
 
 WEIGHTS = (5, 2, 1)
@@ -67,7 +67,9 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("size", word_count(text_of(text)))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix, each row as often as it is taken, with the columns of ``docs``."""
-    mixed = systematic_mix(sized(docs), docs.count())
-    return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    rows, names = shielded(docs)
+    rows = sized(rows, names[text]).withColumn("source", F.col(names[source]))
+    mixed = systematic_mix(rows, docs.count(), names[doc_id]).filter("copies > 0")
+    return unshielded(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)

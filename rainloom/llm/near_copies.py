@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
-from .common import text_of, with_group
+from .common import shielded, small_parts, text_of, unshielded, with_group
 from .paragraph_dedup import shingle_hashes
 from .scratch import keep
 from .simhash import GOLAY
@@ -28,7 +28,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 WIDE = 4
 SKETCH_WORDS = 2
-TABLES, EXACT = 20, 10
+#: Recall measured on word edits and on replaced blocks: 0.99 and 0.91 at similarities from 0.8 to 0.85,
+#: 1.0 and 0.99 from 0.85 to 0.9, 1.0 above.  A pair of unlike texts shares a table's bucket once in 2.4 million.
+TABLES, EXACT = 32, 14
 #: Pairs further apart are not near: 0.8 means some 38 of 256 bits at most, and this is 6 standard deviations more.
 MOST_BITS = 72
 #: Up to so many ids (8 MB) are broadcast; more are joined by shuffle.
@@ -76,7 +78,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows (doc_id, id, s0 .. s3): id is the 64-bit hash of the text, the rest its fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             bits = np.array([sketch(x.encode().lower().split()) for x in texts], bool).reshape(-1, 64 * WIDE)
             packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, WIDE)
@@ -138,7 +140,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
         ids = keep(close.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
         return similar(close, keep(shingle_sets(docs, ids, text, words), "sets"), similarity)
 
-    roots = link_buckets(members, verify)
+    roots = link_buckets(members, verify, lambda some: shingle_sets(docs, some, text, words), similarity)
     labelled = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "least", F.coalesce("root", "id").alias("root"))
     labelled = keep(labelled, "labelled")
     groups = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
@@ -156,4 +158,6 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("id").alias("__hash")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, (F.xxhash64(text_of(text)) == F.col("__hash")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    rows, names = shielded(docs)
+    same = (F.xxhash64(text_of(names[text])) == F.col("__hash")) & F.col(names[doc_id]).eqNullSafe(F.col("__id"))
+    return unshielded(rows.join(gone, same, "left_anti"), names)

@@ -10,6 +10,8 @@ Candidates of the base patterns that pass their test always stay; the classifier
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_parts as parts_of
 from .scratch import keep
 
 #: In the order of the results; the first four are the base kinds.
@@ -165,9 +168,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     found = [(k, a, b, code_of(k, votes(text, k, a, b, p), True)) for k, a, b, p in matches]
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    reach = list(itertools.accumulate((b for _, b in taken), max))  # the furthest end so far
     for k, a, b, p in loose_spans(text):
-        at = int(np.searchsorted(starts, b)) if starts else 0
-        if not any(x < b and a < y for x, y in taken[max(0, at - 4) : at]):
+        before = bisect.bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
             found.append((k, a, b, code_of(k, votes(text, k, a, b, p), False)))
     return base, found
 
@@ -179,7 +183,7 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """Rows (doc_id, base, found), one for each row of ``docs``; a null text is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             base, found = [], []
             for value in batch.column(1).to_pylist():
                 b, f = scan(value or "")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, text_of, with_group
+from .common import SPACE, WORD, shielded, text_of, unshielded, with_group
 from .scratch import keep
 
 MIN_WORDS = 50
@@ -92,7 +92,6 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; the measures are taken once."""
-    columns = docs.columns
-    rows = measured(docs.select(*[F.col(c).alias(f"__d_{c}") for c in columns]), f"__d_{text}").select(*[f"__d_{c}" for c in columns], "base_failed")
-    out = judged(keep(rows, "measured"), f"__d_{host}").filter("kept")
-    return out.select(*[F.col(f"__d_{c}").alias(c) for c in columns])
+    rows, names = shielded(docs)
+    rows = measured(rows, names[text]).select(*names.values(), "base_failed")
+    return unshielded(judged(keep(rows, "measured"), names[host]).filter("kept"), names)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_group
+from .common import small_parts, with_group
 from .components import components, forest
 from .scratch import keep
 
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """Rows (doc_id, fp), one for each row of ``docs``; a null text has no words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x or "", words) for x in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_parts
 from .vocabulary import Memo, Vocabulary, pieces, vocabulary
 
 LIMIT = 512
@@ -22,7 +23,7 @@ LIMIT = 512
 class Counter:
     def __init__(self, words: Vocabulary) -> None:
         self.words = words
-        self.count_of = Memo(self.count_piece)
+        self.count_of = Memo(lambda piece: self.count_piece(piece.encode()), longest=64)
 
     def count_piece(self, piece: bytes) -> int:
         merges, n = self.words.merges, len(piece)
@@ -67,7 +68,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(path)
-        for batch in batches:
+        for batch in small_parts(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             counts = [tokens.count(x) for x in texts]
             sizes = [len(x) if x.isascii() else len(x.encode()) for x in texts]

@@ -81,22 +81,22 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo(dict):
-    """Results by piece, of short pieces; long ones are worked out each time.
+    """Results of ``work`` by key; texts longer than ``longest`` are worked out each time.
 
     When it has ``most`` entries they become the old generation, and the one before is dropped.
     """
 
-    def __init__(self, work, most: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, work, most: int = 200_000, longest: int | None = None) -> None:
         super().__init__()
         self.work, self.most, self.longest, self.old = work, most, longest, {}
 
-    def __missing__(self, piece: str):
-        result = self.old.get(piece)
+    def __missing__(self, key):
+        result = self.old.get(key)
         if result is None:
-            result = self.work(piece.encode())
-        if len(piece) <= self.longest:
+            result = self.work(key)
+        if self.longest is None or len(key) <= self.longest:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = result
+            self[key] = result
         return result
