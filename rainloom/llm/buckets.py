@@ -51,11 +51,11 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return keep(ordered.mapInArrow(scan, "key long, id long, leader long"), "members")
 
 
-def _others(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, id, root): members beside the leader in buckets where those are not all connected."""
-    others = members.filter("id <> leader").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    return others.join(open_keys, "key", "left_semi")
+def _in_open(members: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """``members`` with root, of the groups by ``by`` whose members are not all connected."""
+    rooted = members.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    open_ = rooted.groupBy(by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(by)
+    return rooted.join(open_, by, "left_semi")
 
 
 def _leader_pairs(members: DataFrame) -> DataFrame:
@@ -71,18 +71,25 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     """
     first = keep(verify(_leader_pairs(members)), "first")
     roots = components(first)
-    rest = keep(_others(members, roots).select("id").distinct(), "rest")
+    # Buckets of one leader mostly have the same members; together they are one group here.
+    led = _leader_pairs(members).select(F.col("u").alias("id"), F.col("v").alias("leader"))
+    rest = keep(_in_open(led, roots, "leader").select("id").distinct(), "rest")
     if rest.isEmpty():
         return roots
     sets = keep(sets_of(rest), "rest-sets")
-    again = shared_buckets(prefix_keys(sets, similarity))
+    prefixes = keep(prefix_keys(sets, similarity), "prefixes")
+    again = shared_buckets(prefixes)
     second = keep(similar(_apart(_leader_pairs(again), roots), sets, similarity), "second")
     roots = components(first.unionByName(second))
-    left = keep(_others(again, roots), "left")
+    left = keep(_in_open(prefixes.join(again.filter("id <> leader").select("key", "id"), ["key", "id"], "left_semi"), roots, "key"), "left")
     if left.isEmpty():
         return roots
-    a, b = left.select("key", F.col("id").alias("u"), F.col("root").alias("ru")), left.select("key", F.col("id").alias("v"), F.col("root").alias("rv"))
-    third = similar(a.join(b, "key").filter("ru < rv").select("u", "v").distinct(), sets, similarity)
+    a, b = (left.select("key", *[F.col(c).alias(f"{e}_{c}") for c in ("id", "root", "n", "k")]) for e in "ab")
+    # The first member in common leaves enough after it for the overlap that similar sets have.
+    after = F.least(F.col("a_n") - F.col("a_k"), F.col("b_n") - F.col("b_k")) + 1
+    fits = after >= (F.col("a_n") + F.col("b_n")) * F.lit(similarity / (1 + similarity)) - 1e-9
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a_root") < F.col("b_root")) & fits).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")).distinct()
+    third = similar(pairs, sets, similarity)
     return components(first.unionByName(second).unionByName(third))
 
 
@@ -94,7 +101,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
-    """Rows (id, n, key): the rarest members of each set, so many that similar sets share one.
+    """Rows (id, n, key, k): the rarest members of each set, so many that similar sets share one.
+
+    n is the size of the set and k the place of the member in it.
 
     Of sets of size n with Jaccard similarity s or more, the first n - ceil(s n) + 1 members in any
     common order have one in common.  In the order of rarity these are what sets a variant apart,
@@ -104,7 +113,7 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
     often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     ranked = tokens.join(often, "key", "left").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "key")))
     most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
-    return ranked.filter((F.col("k") <= most) & F.col("often").isNotNull()).select("id", F.col("size").cast("long").alias("n"), "key")
+    return ranked.filter((F.col("k") <= most) & F.col("often").isNotNull()).select("id", F.col("size").cast("long").alias("n"), "key", "k")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
