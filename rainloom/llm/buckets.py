@@ -111,9 +111,11 @@ def prefix_keys(sets: DataFrame, similarity: float) -> DataFrame:
     """
     tokens = sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
     often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    ranked = tokens.join(often, "key", "left").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "key")))
+    # Members of one set only are the rarest and come first: they are counted, and not ranked.
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "key")) - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    ranked = tokens.join(often, "key").withColumn("k", F.col("size") + place)
     most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1
-    return ranked.filter((F.col("k") <= most) & F.col("often").isNotNull()).select("id", F.col("size").cast("long").alias("n"), "key", "k")
+    return ranked.filter(F.col("k") <= most).select("id", F.col("size").cast("long").alias("n"), "key", "k")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

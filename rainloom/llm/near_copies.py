@@ -1,11 +1,11 @@
-"""Near copies of whole documents: wide SimHash, Golay keys, exact Jaccard similarity.
+"""Near copies of whole documents: MinHash bands, exact Jaccard similarity.
 
 The links of ``simhash`` (2 of 64 bits) join texts that are all but equal.  Here a link is a Jaccard
-similarity of 0.8 or more between the sets of five-word shingles.  Such pairs differ in a tenth
-of the bits of a SimHash, so candidates come from TABLES tables over a 256-bit SimHash of two-word
-shingles: each table has a segment of 23 bits, whose words within one bit decode to up to six
-Golay codewords, and EXACT bits besides; texts that share a codeword and those bits are in a
-bucket.  Pairs are tested first by the distance of their fingerprints and then exactly.
+similarity of 0.8 or more between the sets of five-word shingles.  Candidates come from BANDS bands
+of ROWS MinHash values over the same shingles, so the chance to meet depends on nothing but the
+similarity, whatever the length and the place of the edits: a pair of exactly 0.8 shares a band
+with probability 1 - (1 - 0.8 ** 6) ** 24 = 0.9993, one of 0.85 with 0.99999.  All pairs are
+tested exactly.
 """
 
 from __future__ import annotations
@@ -20,88 +20,47 @@ from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
 from .common import shielded, small_parts, text_of, unshielded, with_group
-from .paragraph_dedup import shingle_hashes
+from .paragraph_dedup import PART, band_keys, shingle_hashes
 from .scratch import keep
-from .simhash import GOLAY
 
 SHINGLE = 5
 SIMILARITY = 0.8
-WIDE = 4
-SKETCH_WORDS = 2
-#: Recall measured on word edits and on replaced blocks: 0.99 and 0.91 at similarities from 0.8 to 0.85,
-#: 1.0 and 0.99 from 0.85 to 0.9, 1.0 above.  A pair of unlike texts shares a table's bucket once in 2.4 million.
-TABLES, EXACT = 32, 14
-#: Pairs further apart are not near: 0.8 means some 38 of 256 bits at most, and this is 6 standard deviations more.
-MOST_BITS = 72
+#: More rows than for paragraphs: the sets of whole texts are large, and so is what unlike pairs in a bucket cost.
+BANDS, ROWS = 24, 6
 #: Up to so many ids (8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_RNG = np.random.default_rng(23)
-PLACES = [_RNG.permutation(64 * WIDE)[: 23 + EXACT] for _ in range(TABLES)]
-MIXERS = _RNG.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def sketch(words: list[bytes], size: int = SKETCH_WORDS) -> np.ndarray:
-    """The 256 bits of a text's distinct two-word shingles, as booleans; no word gives none set."""
-    if not words:
-        return np.zeros(64 * WIDE, bool)
-    digest = xxhash.xxh3_64_intdigest
-    pairs = {b" ".join(words)} if len(words) <= size else {a + b" " + b for a, b in zip(words, words[1:], strict=False)}
-    hashes = np.fromiter(map(digest, pairs), np.uint64, len(pairs))
-    total = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), 1 << 12):
-        part = hashes[at : at + (1 << 12), None] * MIXERS[None, :]
-        part ^= part >> np.uint64(31)
-        part *= np.uint64(0x9E3779B97F4A7C15)
-        part ^= part >> np.uint64(28)
-        total += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return total * 2 > len(hashes)
-
-
-def table_keys(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row) of rows of 256 bits."""
-    keys, owners = [], []
-    for t, places in enumerate(PLACES):
-        words = bits[:, places[:23]] @ (1 << np.arange(23))
-        exact = bits[:, places[23:]] @ (1 << np.arange(EXACT))
-        near = GOLAY.near(words, 23)
-        row, column = np.nonzero(near >= 0)
-        keys.append((t << 40) | (exact[row] << 12) | near[row, column])
-        owners.append(row)
-    return np.concatenate(keys), np.concatenate(owners)
 
 
 def text_id(text: str) -> int:
     return int(np.array(xxhash.xxh64_intdigest(text, 42), np.uint64).view(np.int64))
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, id, s0 .. s3): id is the 64-bit hash of the text, the rest its fingerprint."""
+def sketches(docs: DataFrame, doc_id: str, text: str, words: int = SHINGLE) -> DataFrame:
+    """Rows (doc_id, id, size, bands): the 64-bit hash of the text, how many shingles it has, its band keys (none without a word)."""
+
+    def pack(keys: pa.Array, ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        filled = sizes[sizes > 0]
+        bands = band_keys(np.concatenate(sets), np.cumsum(filled) - filled, BANDS, ROWS).reshape(-1) if len(filled) else np.empty(0, np.int64)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(BANDS * (sizes > 0)))), pa.int32())
+        return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(bands))], ["doc_id", "id", "size", "bands"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            bits = np.array([sketch(x.encode().lower().split()) for x in texts], bool).reshape(-1, 64 * WIDE)
-            packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_id(x) for x in texts], pa.int64()), *(pa.array(packed[:, k]) for k in range(WIDE))], ["doc_id", "id", *(f"s{k}" for k in range(WIDE))])
+            ids, sets, at, held = [], [], 0, 0
+            for k, x in enumerate(batch.column(1).to_pylist()):
+                own = (x or "").encode().lower().split()
+                ids.append(text_id(x or ""))
+                sets.append(np.array(shingle_hashes(own, words) if own else [], np.uint64))
+                held += len(sets[-1])
+                if held >= PART:
+                    yield pack(batch.column(0).slice(at, k + 1 - at), ids, sets)
+                    ids, sets, at, held = [], [], k + 1, 0
+            if ids:
+                yield pack(batch.column(0).slice(at), ids, sets)
 
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, id long, " + ", ".join(f"s{k} long" for k in range(WIDE)))
-
-
-def keyed(nodes: DataFrame) -> DataFrame:
-    """Rows (id, n, key) of nodes (id, n, s0 .. s3)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            packed = np.stack([np.asarray(batch.column(2 + k)) for k in range(WIDE)], axis=1).astype("<i8")
-            for at in range(0, len(ids), 4000):
-                bits = np.unpackbits(np.ascontiguousarray(packed[at : at + 4000]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                keys, row = table_keys(bits)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(counts[at + row]), pa.array(keys)], ["id", "n", "key"])
-
-    return nodes.select("id", "n", *[f"s{k}" for k in range(WIDE)]).mapInArrow(work, "id long, n long, key long")
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, id long, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, size: int = SHINGLE) -> DataFrame:
@@ -128,15 +87,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     shingles, A-Z lower-cased; equal texts are one.  Texts without a word have an empty set and
     link to none but themselves.  A null doc_id is after all others; empty in, empty out.
     """
-    rows = keep(sketches(docs, doc_id, text), "sketches")
-    marks = [f"s{k}" for k in range(WIDE)]
-    nodes = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), *[F.any_value(m).alias(m) for m in marks]), "nodes")
-    members = shared_buckets(keyed(nodes.filter(" or ".join(f"{m} <> 0" for m in marks))))
+    rows = keep(sketches(docs, doc_id, text, words), "sketches")
+    nodes = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")), "nodes")
+    members = shared_buckets(nodes.select("id", "n", F.explode("bands").alias("key")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = [nodes.select(F.col("id").alias(e), *[F.col(m).alias(f"{e}_{m}") for m in marks]) for e in "uv"]
-        differ = sum((F.bit_count(F.col(f"u_{m}").bitwiseXOR(F.col(f"v_{m}"))) for m in marks), F.lit(0))
-        close = keep(pairs.join(ends[0], "u").join(ends[1], "v").filter(differ <= MOST_BITS).select("u", "v"), "close")
+        ends = [nodes.select(F.col("id").alias(e), F.col("size").alias(f"{e}_size")) for e in "uv"]
+        # A pair of sizes that cannot reach the similarity needs no sets.
+        fits = F.least("u_size", "v_size") >= F.greatest("u_size", "v_size") * similarity
+        close = keep(pairs.join(ends[0], "u").join(ends[1], "v").filter(fits).select("u", "v"), "close")
         ids = keep(close.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
         return similar(close, keep(shingle_sets(docs, ids, text, words), "sets"), similarity)
 

@@ -39,8 +39,10 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK, WINDOW = 15, 32
 SEED = 42
 _RNG = np.random.default_rng(SEED)
-MULTIPLIERS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: ``near_copies`` has more hash functions.
+FUNCTIONS = 144
+MULTIPLIERS = _RNG.integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADDENDS = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
 #: Up to so many ids (8 MB) are broadcast.
 BROADCAST_IDS = 1_000_000
 #: Lines that are worked on together have at most so many shingles, unless one line has more.
@@ -85,12 +87,12 @@ def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return anchors, name.view(np.int64)
 
 
-def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A row of BANDS keys for each run of ``hashes`` that begins at ``starts``."""
-    keys = np.empty((len(starts), BANDS), np.int64)
-    for band in range(BANDS):
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A row of ``bands`` keys for each run of ``hashes`` that begins at ``starts``."""
+    keys = np.empty((len(starts), bands), np.int64)
+    for band in range(bands):
         key = np.full(len(starts), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
+        for k in range(band * rows, (band + 1) * rows):
             least = np.minimum.reduceat((hashes * MULTIPLIERS[k] + ADDENDS[k]) >> np.uint64(24), starts)
             key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)

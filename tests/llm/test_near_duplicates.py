@@ -271,3 +271,19 @@ def test_op1_and_op6_queries(spark):
     assert [out[i].component_id for i, _ in docs] == [docs[r][0] for r in hamming_groups(values)]
     one = queries.op1_paragraph_dedup(spark, H.DATA)
     assert one.count() == len(docs) and one.filter(F.col("n_removed") > F.col("n_repeated")).count() == 0
+
+
+def test_near_copies_of_long_texts_with_a_replaced_block(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for n in (400, 1000):
+        for _ in range(250):
+            one = [word() for _ in range(n)]
+            at, cut = rng.randrange(n // 2), int(n * 0.105) - 4
+            other = one[:at] + [word() for _ in range(cut)] + one[at + cut :]
+            a, b = H.shingles(" ".join(one)), H.shingles(" ".join(other))
+            assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+            texts += [" ".join(one), " ".join(other)]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(H.docs_of(spark, texts)).collect()}
+    assert sum(got[i + 1] == i for i in range(0, len(texts), 2)) >= 0.995 * len(texts) / 2
