@@ -11,7 +11,9 @@ occurrence, by document and place, stays, and all others are removals.
 Passages can also stand inside other paragraphs.  For those a document has blocks of 15 words at
 anchors that only the words around them decide; equal blocks are one component, so any passage of
 50 words is found wherever it stands and however its lines are cut.  Most blocks occur once: the
-two-pass Bloom filter of ``exact_dedup`` keeps them from being shuffled.
+two-pass Bloom filter of ``exact_dedup`` keeps them from being shuffled.  Equal blocks are seeds:
+each is extended on both sides, word by word, as far as its text equals that around the first
+occurrence, and the whole run is the removal.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+BLANK = " \t\n\x0b\x0c\r"
 #: Blocks of so many words, at the least of so many shingles in a row: passages of 50 words and more.
 BLOCK, WINDOW = 15, 32
+#: A block is extended by up to so many words a side: in a shared passage the next block, or the passage's end, is nearer.
+AROUND = WINDOW
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 #: ``near_copies`` has more hash functions.
@@ -197,9 +202,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, text_hash, start, end, component, occurrences, first_doc, removed, block).
+    """Rows (doc_id, text_hash, start, end, component, occurrences, first_doc, removed, block, run_start, run_end).
 
     One row for each paragraph, and one (block true) for each block that occurs twice or more.
+    A removed block has the place of the run of equal words around it; others run from start to end.
     component is shared by paragraphs that links connect; occurrences counts its paragraphs;
     first_doc has the first one, by doc_id and place, and removed is true for all others.
     Texts that are null or empty have no paragraphs.  Repeated rows of a document share places:
@@ -218,7 +224,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     named = counted.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component"))
     total = rows.count()
     of = keep(with_group(places, keep(named, "named"), ["id"], "n", total).drop("n", "id"), "of")
-    return first_stays(of, total).withColumn("block", F.lit(False)).unionByName(repeated_blocks(table))
+    lines = first_stays(of, total).withColumns({"block": F.lit(False), "run_start": F.col("start"), "run_end": F.col("end")})
+    return lines.unionByName(runs(docs, repeated_blocks(table), doc_id, text))
 
 
 def repeated_blocks(table: DataFrame) -> DataFrame:
@@ -232,6 +239,67 @@ def repeated_blocks(table: DataFrame) -> DataFrame:
     return first_stays(keep(possible, "possible"), total).filter("occurrences > 1").withColumn("block", F.lit(True))
 
 
+def surroundings(text: str, seeds: list[dict]) -> Iterator[tuple[str, str]]:
+    """The text left and right of each block of ``seeds``: whole words, no more than AROUND a side."""
+    bounds = [m.span() for m in WORDS.finditer(text)]
+    first = np.searchsorted([a for a, _ in bounds], [x["start"] for x in seeds]).tolist()
+    for at, x in zip(first, seeds, strict=True):
+        low, high = max(0, at - AROUND), min(len(bounds), at + BLOCK + AROUND)
+        yield text[bounds[low][0] : x["start"]], text[x["end"] : bounds[high - 1][1]]
+
+
+def extension(own: str, other: str, back: bool) -> int:
+    """How many code points of ``own`` hold the words it shares with ``other``, from its end if ``back``, else from its start."""
+    if own == other:
+        return len(own.lstrip(BLANK)) if back else len(own.rstrip(BLANK))
+    places = [m.span() for m in WORDS.finditer(own)]
+    ours, theirs = (x.encode().lower().split() for x in (own, other))
+    if back:
+        places, ours, theirs = places[::-1], ours[::-1], theirs[::-1]
+    n = next((k for k, (a, b) in enumerate(zip(ours, theirs, strict=False)) if a != b), min(len(ours), len(theirs)))
+    return 0 if not n else len(own) - places[n - 1][0] if back else places[n - 1][1]
+
+
+def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``repeated_blocks`` with run_start and run_end, from a second scan of the texts that have any.
+
+    A run does not reach back into the block that stays of the same text.
+    """
+    blocks = keep(blocks, "seeds")
+    names = ["start", "end", "component", "occurrences", "first_doc", "removed"]
+    each = blocks.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct(*names))).alias("seeds"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
+    rows = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "seeds")
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    plain = f"doc_id {kind}, text_hash long, start long, end long, component long, occurrences long, first_doc {kind}, removed boolean"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_parts(batches, 64):
+            out = []
+            for key, digest, value, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(key, digest, *(x[c] for c in names), *sides) for x, sides in zip(seeds, surroundings(value, seeds), strict=True)]
+            kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), batch.column(0).type, pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "text_hash", *names, "left", "right"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_parts(batches, 1024):
+            starts, ends = [], []
+            for start, end, stay, left, right, before, after in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "stay", "left", "right", "f_left", "f_right")), strict=True):
+                start_ = start - extension(left, before or "", True)
+                starts.append(start_ if stay is None else max(start_, min(start, stay)))
+                ends.append(end + extension(right, after or "", False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*batch.schema.names[:8], "run_start", "run_end"])
+
+    around = keep(rows.mapInArrow(look, plain + ", left string, right string"), "around")
+    firsts = around.filter("not removed").dropDuplicates(["component"]).select("component", F.col("occurrences").alias("n"), F.col("text_hash").alias("f_hash"), F.col("end").alias("f_end"), F.col("left").alias("f_left"), F.col("right").alias("f_right"))
+    paired = with_group(around.filter("removed"), keep(firsts, "firsts"), ["component"], "n", max(1, blocks.count()))
+    paired = paired.withColumn("stay", F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("f_hash")), F.col("f_end")))
+    columns = ["doc_id", "text_hash", *names]
+    long = paired.select(*columns, "stay", "left", "right", "f_left", "f_right").mapInArrow(extend, plain + ", run_start long, run_end long")
+    kept = around.filter("not removed").select(*columns, F.col("start").alias("run_start"), F.col("end").alias("run_end"))
+    return long.unionByName(kept).withColumn("block", F.lit(True))
+
+
 def first_stays(of: DataFrame, total: int) -> DataFrame:
     """``of``, rows with component, with occurrences, first_doc and removed (false for the first of each)."""
     by_doc = of.groupBy("component", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
@@ -244,10 +312,10 @@ def first_stays(of: DataFrame, total: int) -> DataFrame:
 def by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` as (doc_id, text_hash, text) with n_paragraphs, n_repeated, n_blocks and removals.
 
-    removals are the places to remove with the first document of each, in order; those of blocks
-    that overlap are one.
+    removals are the places to remove with the first document of each, in order; those that overlap
+    are one.
     """
-    span = F.struct("start", "end", "first_doc")
+    span = F.struct(F.col("run_start").alias("start"), F.col("run_end").alias("end"), "first_doc")
     line = ~F.col("block")
     each = found.groupBy("doc_id", "text_hash").agg(
         F.count_distinct(F.when(line, F.col("start"))).alias("n_paragraphs"),

@@ -287,3 +287,18 @@ def test_near_copies_of_long_texts_with_a_replaced_block(spark):
             texts += [" ".join(one), " ".join(other)]
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(H.docs_of(spark, texts)).collect()}
     assert sum(got[i + 1] == i for i in range(0, len(texts), 2)) >= 0.995 * len(texts) / 2
+
+
+def test_whole_passages_are_removed(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}{rng.choice(['', chr(10), '.'])}" for _ in range(n))
+    passages = [prose(n).strip() for n in (50, 55, 60, 200, 1000) for _ in range(4)]
+    texts = [f"{prose(40)} {p.upper() if c == 1 else p} {prose(40)}" for p in passages for c in range(3)]
+    twice = prose(90).strip()
+    texts += [f"{prose(30)} {twice} {prose(30)} {twice} {prose(30)}"]
+    out = {r.doc_id: r for r in paragraph_dedup.remove_repeats(H.docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts[:-1]):
+        at = t.lower().index(passages[i // 3].lower())
+        assert [(x.start, x.end) for x in out[i].removals] == [(at, at + len(passages[i // 3]))] * (i % 3 > 0)
+    at = texts[-1].rindex(twice)
+    assert [(x.start, x.end) for x in out[len(texts) - 1].removals] == [(at, at + len(twice))]
