@@ -32,8 +32,9 @@ from .common import small_parts, text_of, with_group
 from .exact_dedup import filter_bits, probe, repeat_filter
 from .scratch import keep
 
-MIN_WORDS = 20
 SHINGLE = 5
+#: A line of fewer words has no shingle.
+MIN_WORDS = SHINGLE
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")

@@ -302,3 +302,13 @@ def test_whole_passages_are_removed(spark):
         assert [(x.start, x.end) for x in out[i].removals] == [(at, at + len(passages[i // 3]))] * (i % 3 > 0)
     at = texts[-1].rindex(twice)
     assert [(x.start, x.end) for x in out[len(texts) - 1].removals] == [(at, at + len(twice))]
+
+
+def test_short_lines_are_paragraphs(spark):
+    rng = random.Random(13)
+    wrapped = lambda n: "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(n))
+    one, line = wrapped(9), "one two three four five"
+    texts = [f"{wrapped(2)}\n{one}\n{wrapped(1)}", f"{line}\n{one.upper()}\n{wrapped(1)}", f"{wrapped(1)}\n{line}"]
+    out = {r.doc_id: r for r in paragraph_dedup.remove_repeats(H.docs_of(spark, texts)).collect()}
+    assert [out[i].n_paragraphs for i in range(3)] == [12, 11, 2] and [out[i].n_repeated for i in range(3)] == [9, 10, 1]
+    assert out[0].text == texts[0] and out[1].text == line + "\n" + texts[1].rpartition("\n")[2] and out[2].text == texts[2].removesuffix(line)
