@@ -241,7 +241,7 @@ def accepted_codes(found: DataFrame, threshold: float = THRESHOLD) -> list[int]:
     codes, counts = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     posterior, _, _ = reliabilities(codes, counts)
     score = 1 / (1 + np.exp(-(features(codes) @ classifier(codes, counts, posterior))))
-    return [int(c) for c, s in zip(codes, score, strict=True) if not c & 1 and c >> 1 & 1 and s >= threshold]
+    return [int(c) for c, s in zip(codes, score, strict=True) if not c & 1 and s >= threshold]
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -164,3 +164,18 @@ def test_queries(spark, library):
         assert not text or set(text.split(",")) <= set(r.spans.split(","))
     for r in queries.op5_token_counts(spark, H.DATA).collect():
         assert r.n_tokens == len(library.encode(docs[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_the_classifier_decides_without_the_strict_form(spark):
+    rng = random.Random(2)
+    filler = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet consetetur".split()) for _ in range(12))
+    texts = []
+    for k in range(80):
+        texts.append(f"{filler()} mail user{k}@site{k}.com {filler()}")
+        texts.append(f"{filler()} call ({200 + k}) 555-{1000 + 7 * k} {filler()}")
+        texts.append(f"{filler()} {4 * 10**15 + rng.randrange(10**15)} {filler()}")
+        texts.append(f"{filler()} call {200 + k}-555-{1000 + 7 * k} {filler()}")
+    out = {r.doc_id: r for r in pii.personal_data(H.docs_of(spark, texts)).collect()}
+    for i in range(3, len(texts), 4):
+        at = texts[i].index("call ") + 5
+        assert (3, at, at + 12) in [tuple(s) for s in out[i].spans]
