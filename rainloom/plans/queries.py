@@ -455,7 +455,7 @@ def intensity_scores(spark, d):
 
 @register("dataset metric n_resamples block_length", "lower_95 median upper_95")
 def experiment_uncertainty(spark, d):
-    return V.bootstrap_uncertainty(views.products(spark, d), resamples=200, threshold=GRID_THRESHOLD)
+    return V.bootstrap_uncertainty(views.products(spark, d), threshold=GRID_THRESHOLD)
 
 
 @register("dataset rank", "composite_score bias rmse equitable_threat_score")
@@ -581,17 +581,17 @@ def regional_trend(spark, d):
 
 @register("n", "slope lower upper")
 def regional_slope_ci(spark, d):
-    return trends.regional_slope_ci(_field(spark, d), n_resamples=300)
+    return trends.regional_slope_ci(_field(spark, d))
 
 
 @register("series n", "slope lower upper")
 def sens_slope_ci(spark, d):
-    return trends.sens_slope_ci(views.annual(spark, d), keys=["series"], n_resamples=300)
+    return trends.sens_slope_ci(views.annual(spark, d), keys=["series"])
 
 
 @register("observed_count n_cells critical_count", "field_pvalue")
 def field_significance(spark, d):
-    return trends.field_significance(_field(spark, d), block_length=2, n_resamples=100)
+    return trends.field_significance(_field(spark, d), block_length=2)
 
 
 @register("series n", "hurst r_squared")
@@ -657,12 +657,12 @@ def gev_fit(spark, d):
 
 @register("series n", "return_level ci_lower ci_upper")
 def gev_return_level_ci(spark, d):
-    return extremes.gev_return_level_ci(_maxima(spark, d), 50.0, keys=["series"], n_resamples=100)
+    return extremes.gev_return_level_ci(_maxima(spark, d), 50.0, keys=["series"])
 
 
 @register("series n_exceedances", "return_level ci_lower ci_upper shape scale exceedance_rate")
 def pot_return_level_ci(spark, d):
-    return extremes.pot_return_level_ci(views.daily(spark, d), 400.0, 3650.0, keys=["series"], n_resamples=200)
+    return extremes.pot_return_level_ci(views.daily(spark, d), 400.0, 3650.0, keys=["series"])
 
 
 @register("series n_exceedances", "threshold return_level")
@@ -687,7 +687,7 @@ def gpd_quantiles(spark, d):
 
 @register("series n_exceedances", "ks_statistic ks_pvalue_bootstrap ad_statistic ad_pvalue_bootstrap")
 def gpd_goodness_of_fit_bootstrap(spark, d):
-    return extremes.gpd_goodness_of_fit_bootstrap(_excess(spark, d), keys=["series"], n_resamples=100)
+    return extremes.gpd_goodness_of_fit_bootstrap(_excess(spark, d), keys=["series"])
 
 
 @register("series n_exceedances", "shape log_scale_intercept log_scale_covariate covariate_mean covariate_std nll")
@@ -702,17 +702,17 @@ def gpd_model_comparison(spark, d):
 
 @register("series n_exceedances", "lr_statistic lr_pvalue lr_pvalue_bootstrap lr_critical")
 def gpd_model_comparison_bootstrap(spark, d):
-    return extremes.gpd_model_comparison_bootstrap(_excess(spark, d), keys=["series"], n_resamples=100)
+    return extremes.gpd_model_comparison_bootstrap(_excess(spark, d), keys=["series"])
 
 
 @register("series n_exceedances", "shape shape_ci_lower shape_ci_upper log_scale_covariate log_scale_covariate_ci_lower log_scale_covariate_ci_upper")
 def gpd_nonstationary_ci(spark, d):
-    return extremes.gpd_nonstationary_ci(_excess(spark, d), keys=["series"], n_resamples=100)
+    return extremes.gpd_nonstationary_ci(_excess(spark, d), keys=["series"])
 
 
 @register("series n_valid_bootstrap", "return_level_median ci_lower ci_upper selected_threshold_median")
 def pot_threshold_bootstrap(spark, d):
-    return extremes.pot_threshold_bootstrap(views.daily(spark, d), LEVELS, 3650.0, keys=["series"], n_resamples=100)
+    return extremes.pot_threshold_bootstrap(views.daily(spark, d), LEVELS, 3650.0, keys=["series"])
 
 
 # --- drought, learning -------------------------------------------------------------------------

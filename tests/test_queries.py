@@ -34,3 +34,17 @@ def test_query(spark, duck, name):
     if name in queries.SQL:
         out = duck.sql(queries.SQL[name])
         assert got == rows(out.columns, out.fetchall())
+
+
+BOOTSTRAPS = {"field_significance": "trends", "sens_slope_ci": "trends", "regional_slope_ci": "trends", "bootstrap_uncertainty": "V"} | {n: "extremes" for n in ("gev_return_level_ci", "gpd_goodness_of_fit_bootstrap", "gpd_model_comparison_bootstrap", "gpd_nonstationary_ci", "pot_threshold_bootstrap", "pot_return_level_ci")}
+
+
+@pytest.mark.parametrize("name", sorted(BOOTSTRAPS))
+def test_bootstraps_have_the_default_resamples(spark, monkeypatch, name):
+    def seen(*args, **options):
+        raise KeyError(*[k for k in options if "resamples" in k])
+
+    monkeypatch.setattr(getattr(queries, BOOTSTRAPS[name]), name, seen)
+    with pytest.raises(KeyError) as found:
+        queries.QUERIES["experiment_uncertainty" if name == "bootstrap_uncertainty" else name](spark, DATA)
+    assert not found.value.args
