@@ -3,7 +3,9 @@
 Alternating large-star and small-star rounds (Kiveris et al., 2014): every node points all its
 larger neighbours at its smallest one, then all its smaller ones.  The rounds end when the edges
 do not change; then they are stars with the smallest node of each component in the middle.
-Minima are taken by partial aggregation, so a node with very many edges is no problem.
+Minima are taken by partial aggregation.  From SPLIT edges on a node with very many of them is joined
+by broadcast (``with_group``), so its edges stay in the tasks that have read them; fewer edges than
+that, 16 bytes each, are no load for a task.
 """
 
 from __future__ import annotations
@@ -11,20 +13,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_group
 from .scratch import forget, keep
 
 ROUNDS = 100
+SPLIT = 1_000_000
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One round over rows (u, v), u < v, each edge once."""
+def _star(edges: DataFrame, larger: bool, total: int) -> DataFrame:
+    """One round over rows (u, v), u < v, each edge once; there are ``total`` of them."""
+
+    def joined(rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(least.drop("n"), key) if total < SPLIT else with_group(rows, least, [key], "n", total)
+
     if larger:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        moved = joined(both.filter("v > u"), "u").select(F.col("m").alias("u"), "v")
     else:
-        least = edges.groupBy("v").agg(F.min("u").alias("m"))
-        moved = edges.join(least, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("v").alias("b")))
+        least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = joined(edges, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("v").alias("b")))
         moved = moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     return moved.filter("u < v").distinct()
 
@@ -33,24 +41,26 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node with an edge, from rows (u, v); root is the smallest node.
 
     Loops, repeated edges and either order of the ends are fine, edges with a null end are no
-    edges; no edges, no rows.
+    edges; no edges, no rows.  The result is a kept table, which the caller may forget.
     """
-    spark = edges.sparkSession
     now = keep(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = now.agg(mark).first()
-    if before[0][0] == 0:
-        return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    for _ in range(ROUNDS):
-        then, now = now, keep(_star(keep_large := keep(_star(now, True), "large"), False), "small")
-        forget(spark, then, keep_large)
-        after = now.agg(mark).first()
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    if before[0][0]:
+        for _ in range(ROUNDS):
+            large = keep(_star(now, True, before[0][0]), "large")
+            forget(now)
+            now = keep(_star(large, False, before[0][0]), "small")
+            forget(large)
+            after = now.agg(mark).first()
+            if after == before:
+                break
+            before = after
+        else:
+            raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+    out = keep(now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()), "roots")
+    forget(now)
+    return out
 
 
 def forest(left, right):

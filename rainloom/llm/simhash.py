@@ -107,8 +107,12 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         starts = ends - sizes
         n = len(parts) - words + 1
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of unsigned 64-bit values, as a signed number."""
     bits = np.zeros(64, np.int64)
-    values = np.array(hashes, "<u8")
     for at in range(0, len(values), 1 << 14):
         part = values[at : at + (1 << 14)]
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
