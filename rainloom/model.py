@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -88,6 +90,28 @@ def validate_dataset(df: DataFrame, *, required: Sequence[str] = (), require_cf_
     return df
 
 
+def same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """The condition that columns are equal in pairs, null to null; true without any."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)], F.lit(True))
+
+
+def running_before(rows: DataFrame, value: str, order: str, bins: Column, within: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of their group before them in ``order``, without a task for a whole group.
+
+    ``bins`` is a number that does not fall as ``order`` rises.  Sums of bins are accumulated first;
+    a window then runs inside each bin.
+    """
+    rows = rows.withColumn("__bin", bins)
+    keys = [*within, "__bin"]
+    earlier = Window.partitionBy(*within).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.sum(value).alias("__sum")).withColumn("__earlier", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__earlier")
+    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = rows.join(sums, same(keys, [f"__k{i}" for i in range(len(keys))]))
+    return joined.withColumn(name, F.col("__earlier") + F.col("__own")).drop("__bin", "__own", "__earlier", *[f"__k{i}" for i in range(len(keys))])
+
+
 def describe_dataset(df: DataFrame, coordinates: Sequence[str] = ("time", "latitude", "longitude")) -> dict:
     """Sizes of the coordinates, the variables, the calendar and the history of normalisation."""
     dims = [c for c in coordinates if c in df.columns]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import INTENSITY_THRESHOLDS, error_class, intensity_class
-from ..model import ratio
+from ..model import ratio, running_before
 
 
 def build_error_features(observed: DataFrame, predicted: DataFrame | None = None, *, observation: str = "observation", prediction: str = "prediction", time: str = "time", on: Sequence[str] = (), elevation: DataFrame | None = None, include_target: bool = True, intensity_thresholds: Sequence[float] = INTENSITY_THRESHOLDS, relative_thresholds: tuple[float, float] = (0.25, 0.5), absolute_tolerance: float = 1.0) -> DataFrame:
@@ -126,10 +126,9 @@ def classification_metrics(df: DataFrame, *, truth: str = "label", predicted: st
         return out
     y, q = F.col(truth).cast("double"), F.col(probability)
     safe = F.greatest(F.least(q, F.lit(1 - 1e-15)), F.lit(1e-15))
-    # Ranks by value: counts of each probability are summed over the distinct ones only.
+    # Ranks by value: counts of each distinct probability are summed by bins.
     levels = df.groupBy(q.alias("q")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("under", F.coalesce(F.sum("neg").over(below), zero))
+    levels = running_before(levels, "neg", "q", F.floor(F.coalesce("q", F.lit(-1.0)) * 16384).cast("long"), name="under")
     auc = levels.agg(ratio(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
     loss = df.agg((-F.avg(y * F.log(safe) + (1 - y) * F.log(1 - safe))).alias("log_loss"))
     return out.crossJoin(F.broadcast(loss)).crossJoin(F.broadcast(auc))
