@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..model import nan_to_null, per_series
+from ..model import nan_to_null, per_series, running_before, same
 from .climatology import seasonal_series
 from .spatial import regional_mean
 
@@ -78,13 +78,22 @@ def seasonal_sen_slope(df: DataFrame, season: str, *, keys: Sequence[str] = (),
 
 
 def fdr_mask(df: DataFrame, alpha: float = 0.05, *, pvalue: str = "pvalue", within: Sequence[str] = (), name: str = "significant_fdr") -> DataFrame:
-    """``df`` with the Benjamini-Hochberg decision within ``within``; null p-values do not count and do not pass."""
-    p = F.col(pvalue)
-    group = Window.partitionBy(*within)
-    rank = F.row_number().over(group.orderBy(p.asc_nulls_last()))
-    out = df.withColumns({"__k": rank, "__m": F.count(p).over(group)})
-    out = out.withColumn("__limit", F.max(F.when(p <= F.lit(alpha) * F.col("__k") / F.col("__m"), p)).over(group))
-    return out.withColumn(name, F.coalesce(p <= F.col("__limit"), F.lit(False))).drop("__k", "__m", "__limit")
+    """``df`` with the Benjamini-Hochberg decision within ``within``; null p-values do not count and do not pass.
+
+    The rank of a p-value is the number of those up to it.  Only distinct ones up to ``alpha`` can be
+    the limit; they are ranked in bins of their logarithm (1,024 an octave), not in one window.
+    """
+    p, names = F.col(pvalue), [f"__g{k}" for k in range(len(within))]
+    held = df.select(*[F.col(g).alias(n) for g, n in zip(within, names, strict=True)], p.alias("__p"))
+    levels = held.filter(F.col("__p") <= alpha).groupBy(*names, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    octaves = F.coalesce(F.floor(F.log2(F.col("__p") / F.lit(alpha)) * 1024), F.lit(-(1 << 30))).cast("long")
+    ranked = running_before(levels, "__n", "__p", octaves, names, "__before").withColumn("__k", F.col("__before") + F.col("__n"))
+    totals = held.groupBy(*names).agg(F.count("__p").alias("__m"))
+    others = [f"__t{k}" for k in range(len(names))]
+    ranked = ranked.join(totals.select(*[F.col(n).alias(o) for n, o in zip(names, others, strict=True)], "__m"), same(names, others))
+    limits = ranked.filter(F.col("__p") <= F.lit(alpha) * F.col("__k") / F.col("__m")).groupBy(*names).agg(F.max("__p").alias("__limit"))
+    out = df.join(limits if within else F.broadcast(limits), same(within, names), "left")
+    return out.withColumn(name, F.coalesce(p <= F.col("__limit"), F.lit(False))).drop("__limit", *names)
 
 
 def spatial_trend(df: DataFrame, *, value: str = "value", time: str = "time", keys: Sequence[str] = ("latitude", "longitude"), alpha: float = 0.05, max_lag: int | None = None) -> DataFrame:

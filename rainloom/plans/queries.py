@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions import scalars, units
 from ..operators import climatology as C
 from ..operators import drought, extremes, learning, metrics, spatial, tagging, timeaxis, trends
 from ..operators import precipitation as P
 from ..operators import verification as V
+from ..sources import normalize
 from . import views
 from .views import with_views
 
@@ -273,6 +275,53 @@ for _title, _from, _to, _sql in _CONVERSIONS:
         return units.convert_units(views.table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x")), "x", target, source_units=source)
 
 
+def _product(spark, d):
+    """Customers as cells of a product with spellings and units of its own."""
+    cells = views.table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_nationkey").cast("double").alias("lat"), (F.col("c_custkey") % 360).cast("double").alias("LON"), F.col("c_acctbal").alias("t2m"), F.abs("c_acctbal").alias("tp"))
+    return cells.withMetadata("t2m", {"units": "degC"}).withMetadata("tp", {"units": "m"})
+
+
+_CELLS = "SELECT c_custkey AS cell, CAST(c_nationkey AS DOUBLE) AS latitude, CAST(c_custkey % 360 AS DOUBLE) AS longitude"
+
+
+@register("cell", "latitude longitude", f"{_CELLS} FROM customer")
+def normalize_coords(spark, d):
+    return normalize.normalize_coords(_product(spark, d), dataset="era5", strict=True)
+
+
+@register("cell", "temperature precipitation", "SELECT c_custkey AS cell, c_acctbal AS temperature, abs(c_acctbal) AS precipitation FROM customer")
+def standardize_variables(spark, d):
+    return normalize.standardize_variables(_product(spark, d), dataset="era5")
+
+
+@register("cell", "latitude longitude temperature precipitation", f"{_CELLS}, c_acctbal + 273.15::DOUBLE AS temperature, abs(c_acctbal) * 1000 AS precipitation FROM customer")
+def normalize_dataset(spark, d):
+    return normalize.normalize_dataset(_product(spark, d), dataset="era5")
+
+
+@register("station_id time", "latitude precipitation", "SELECT s_suppkey AS station_id, TIMESTAMP '2000-01-01 00:00:00' + to_days(CAST(s_suppkey % 365 AS INTEGER)) AS time, CAST(s_nationkey AS DOUBLE) AS latitude, s_acctbal AS precipitation FROM supplier")
+def normalize_stations(spark, d):
+    day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("s_suppkey") % 365).cast("int")), "yyyy-MM-dd")
+    return normalize.normalize_stations(views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("stn"), day.alias("Date"), F.col("s_nationkey").cast("double").alias("LAT"), F.col("s_acctbal").alias("rainfall")))
+
+
+@register("c_custkey", "x", "SELECT c_custkey, c_acctbal * 100 AS x FROM customer")
+def to_si(spark, d):
+    return units.to_si(views.table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x")), "x", "surface_pressure", source_units="hPa")
+
+
+@register("cell", "temperature surface_pressure", "SELECT c_custkey AS cell, c_acctbal + 273.15::DOUBLE AS temperature, c_acctbal * 100 AS surface_pressure FROM customer")
+def normalize_units(spark, d):
+    df = views.table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_acctbal").alias("temperature"), F.col("c_acctbal").alias("surface_pressure"))
+    return units.normalize_units(df.withMetadata("temperature", {"units": "degC"}).withMetadata("surface_pressure", {"units": "hPa"}))
+
+
+@register("name size", "", "SELECT 'latitude' AS name, count(DISTINCT c_nationkey) AS size FROM customer UNION ALL SELECT 'longitude', count(DISTINCT c_custkey % 360) FROM customer")
+def describe_dataset(spark, d):
+    dims = model.describe_dataset(normalize.normalize_coords(_product(spark, d), dataset="era5"))["dims"]
+    return spark.createDataFrame(sorted(dims.items()), "name string, size long")
+
+
 @register("c_custkey", "longitude", "SELECT c_custkey, CASE WHEN (CAST(c_custkey * 7 AS DOUBLE) + 180) % 360 - 180 = -180 AND c_custkey > 0 THEN 180 ELSE (CAST(c_custkey * 7 AS DOUBLE) + 180) % 360 - 180 END AS longitude FROM customer")
 def normalize_longitude(spark, d):
     return spatial.normalize_longitude(views.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 7).cast("double").alias("longitude")))
@@ -554,9 +603,9 @@ def seasonal_mann_kendall(spark, d):
     return trends.seasonal_mann_kendall(views.daily(spark, d), "JJA", keys=["series"])
 
 
-@register("l_orderkey l_linenumber significant_fdr", "", "WITH p AS (SELECT l_orderkey, l_linenumber, l_discount + (l_orderkey % 1000) / 1000.0::DOUBLE AS p FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p), l AS (SELECT max(p) AS l FROM r WHERE p <= 0.2::DOUBLE * k / m) SELECT l_orderkey, l_linenumber, coalesce(p <= l, false) AS significant_fdr FROM r, l")
+@register("l_orderkey l_linenumber significant_fdr", "", "WITH p AS (SELECT l_orderkey, l_linenumber, l_discount + (l_orderkey % 1000) / 1000.0::DOUBLE AS p FROM lineitem), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p), l AS (SELECT max(p) AS l FROM r WHERE p <= 0.2::DOUBLE * k / m) SELECT l_orderkey, l_linenumber, coalesce(p <= l, false) AS significant_fdr FROM r, l")
 def fdr_mask(spark, d):
-    p = views.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", (F.col("l_discount") + (F.col("l_orderkey") % 1000) / F.lit(1000.0)).alias("pvalue"))
+    p = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") + (F.col("l_orderkey") % 1000) / F.lit(1000.0)).alias("pvalue"))
     return trends.fdr_mask(p, 0.2)
 
 

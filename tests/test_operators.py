@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,31 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.value for r in spark.sql("select * from days").collect()) == [1, 24, 24]
+
+
+def test_names_are_resolved_by_the_strongest_claim(spark):
+    plan = normalize.resolve(["Lat", "lat", "tp", "pr", "precip"], {"latitude": normalize.COORDINATES["latitude"], "precipitation": normalize.VARIABLES["precipitation"]}, product="cmip6")
+    assert plan.renames() == {"lat": "latitude", "pr": "precipitation"}
+    assert plan.taken["precipitation"].reason is normalize.Reason.PRESET
+    given = normalize.resolve(["tp", "pr"], {"precipitation": normalize.VARIABLES["precipitation"]}, given={"precipitation": "tp"}, product="cmip6")
+    assert given.renames() == {"tp": "precipitation"} and given.taken["precipitation"].reason is normalize.Reason.GIVEN
+    assert normalize.resolve(["LAT"], normalize.COORDINATES).renames() == {"LAT": "latitude"}
+    both = normalize.resolve(["RAINC", "RAINNC"], normalize.VARIABLES, product="wrf")
+    assert both.totals == ("precipitation",) and both.renames() == {}
+    df = spark.createDataFrame([(1.0, 2.0)], "lat double, other double")
+    with pytest.raises(KeyError):
+        normalize.standardize_variables(df, variables={"temperature": "missing"}, strict=True)
+    assert normalize.find_variable(df, "temperature") is None and normalize.find_name(["LAT"], ["lat"]) == "LAT"
+
+
+def test_fdr_mask_equals_the_step_up_rule(spark):
+    rng = np.random.default_rng(3)
+    p = np.round(np.concatenate([rng.random(200), rng.random(60) * 0.01, [0.0, 0.0, 1.0]]), 3)
+    rows = [(int(k % 3), float(x)) for k, x in enumerate(p)] + [(0, None), (None, 0.001), (None, 0.9)]
+    got = trends.fdr_mask(spark.createDataFrame(rows, "g int, pvalue double"), 0.1, within=["g"]).collect()
+    for g in (0, 1, 2, None):
+        own = np.sort([x for a, x in rows if a == g and x is not None])
+        holds = own <= 0.1 * np.arange(1, len(own) + 1) / len(own)
+        limit = own[holds].max() if holds.any() else -1
+        assert all(r.significant_fdr == (r.pvalue is not None and r.pvalue <= limit) for r in got if r.g == g)
+    assert len(got) == len(rows)
