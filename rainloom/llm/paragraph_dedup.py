@@ -3,40 +3,46 @@
 A paragraph is a line with at least MIN_WORDS words; A-Z are lower-cased and white space is one
 space.  Equal paragraphs have one id (a 64-bit hash).  Each distinct paragraph has a MinHash
 signature over the set of its five-word shingles, cut into BANDS bands of ROWS values: a pair of
-similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 4) ** 14 = 0.9994, one of 0.9 with
-probability 1 - 1e-6.  Buckets of a band are not paired up (see ``buckets``); each link of the exact
+similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992, one of 0.9 with
+probability 1 - 3e-6.  Sets of up to 3 shingles are similar only if equal and have one band, the set.
+Buckets of a band are not paired up (see ``buckets``); each link of the exact
 Jaccard similarity that banding can see is kept.  Of each component the first
 occurrence, by document and place, stays, and all others are removals.
 
-Passages can also stand inside other paragraphs.  For those a document has blocks of 15 words at
-anchors that only the words around them decide; equal blocks are one component, so any passage of
-50 words is found wherever it stands and however its lines are cut.  Most blocks occur once: the
-two-pass Bloom filter of ``exact_dedup`` keeps them from being shuffled.  Equal blocks are seeds:
-each is extended on both sides, word by word, as far as its text equals that around the first
-occurrence, and the whole run is the removal.
+Passages can also stand inside other paragraphs.  They are banded by windows: the MinHash of a
+window of 32 shingles is its least one, and the band is that shingle with the two that follow, which
+are the 15 words of a block.  So any passage of 50 words that two texts share has a block of its own
+in both, wherever it stands and however its lines are cut.  Most blocks occur once: the two-pass
+Bloom filter of ``exact_dedup`` keeps them from being shuffled.  A block that meets the first of its
+bucket is verified word by word against it, and extended on both sides as far as its text equals
+that around the first; the whole run is the removal.  A block that meets its bucket by chance, with
+other words, is none.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
 from .common import small_parts, text_of, with_group
-from .exact_dedup import filter_bits, probe, repeat_filter
-from .scratch import keep
+from .exact_dedup import flagged
+from .scratch import forget, keep
 
 SHINGLE = 5
 #: A line of fewer words has no shingle.
 MIN_WORDS = SHINGLE
 SIMILARITY = 0.8
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 10, 3
+#: Sets of up to so many shingles have the similarity with none but equal ones.
+ALONE = 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\n\x0b\x0c\r"
 #: Blocks of so many words, at the least of so many shingles in a row: passages of 50 words and more.
@@ -107,12 +113,12 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows:
 
 
 def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
-    """(start, end, id, first word, words) of the paragraphs of a text."""
+    """(start, end, id, first word, words) of the paragraphs of a text, from the first word to the last."""
     at = before = 0
     for line in (text or "").split("\n"):
         words = line.encode().lower().split()
         if len(words) >= min_words:
-            yield at, at + len(line), int(np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)), before, words
+            yield at + len(line) - len(line.lstrip(BLANK)), at + len(line.rstrip(BLANK)), int(np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)), before, words
         at += len(line) + 1
         before += len(words)
 
@@ -152,8 +158,14 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     def pack(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         lines = [r for r in rows if len(r[-1])]
         sizes = np.array([len(r[-1]) for r in lines], np.int64)
-        keys = band_keys(np.concatenate([r[-1] for r in lines]), np.cumsum(sizes) - sizes).reshape(-1) if lines else NOTHING
-        ends = np.cumsum([BANDS * bool(len(r[-1])) for r in rows])
+        keys = band_keys(np.concatenate([r[-1] for r in lines]), np.cumsum(sizes) - sizes) if lines else np.empty((0, BANDS), np.int64)
+        # The first of the sorted shingles tells no small sets apart, all together do.
+        small = np.flatnonzero(sizes <= ALONE)
+        keys[small, 0] = [int(np.bitwise_xor.reduce(lines[k][-1] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) for k in small.tolist()]
+        wanted = np.ones(keys.shape, bool)
+        wanted[small, 1:] = False
+        keys = keys[wanted]
+        ends = np.cumsum([0 if not len(r[-1]) else 1 if len(r[-1]) <= ALONE else BANDS for r in rows])
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys, pa.int64()))]
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[5]) for r in rows]))), pa.int32())
         lists += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]), t)) for k, t in ((5, pa.int32()), (6, pa.int32()), (7, pa.int64()))]
@@ -203,12 +215,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, text_hash, start, end, component, occurrences, first_doc, removed, block, run_start, run_end).
+    """Rows (doc_id, text_hash, start, end, component, occurrences, documents, first_doc, removed, block, run_start, run_end).
 
     One row for each paragraph, and one (block true) for each block that occurs twice or more.
     A removed block has the place of the run of equal words around it; others run from start to end.
-    component is shared by paragraphs that links connect; occurrences counts its paragraphs;
-    first_doc has the first one, by doc_id and place, and removed is true for all others.
+    component is shared by paragraphs that links connect; occurrences counts its paragraphs, and
+    documents the documents that have them; first_doc has the first one, by doc_id and place, and removed is true for all others.
     Texts that are null or empty have no paragraphs.  Repeated rows of a document share places:
     they are kept or removed alike.  A null doc_id is after all others.  Columns other than the
     two named are ignored; empty in, empty out.
@@ -216,37 +228,54 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     table = keep(paragraphs(docs, doc_id, text, min_words), "paragraphs")
     rows = table.filter("start >= 0").select("doc_id", "text_hash", "start", "end", "id", "bands")
     places = rows.select("doc_id", "text_hash", "start", "end", "id")
-    distinct = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands"))
+    distinct = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands")), "distinct")
     members = shared_buckets(distinct.select("id", "n", F.explode("bands").alias("key")))
     ids = keep(members.select("id").distinct(), "ids")
     sets = keep(shingle_sets(docs, ids, text, min_words), "sets")
+    forget(ids)
     roots = link_buckets(members, lambda pairs: similar(pairs, sets, similarity), lambda some: sets.join(some, "id", "left_semi"), similarity)
-    counted = places.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    named = counted.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component"))
+    forget(members, sets)
+    named = keep(distinct.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component")), "named")
+    forget(distinct, roots)
     total = rows.count()
-    of = keep(with_group(places, keep(named, "named"), ["id"], "n", total).drop("n", "id"), "of")
+    of = keep(with_group(places, named, ["id"], "n", total).drop("n", "id"), "of")
+    forget(named)
     lines = first_stays(of, total).withColumns({"block": F.lit(False), "run_start": F.col("start"), "run_end": F.col("end")})
-    return lines.unionByName(runs(docs, repeated_blocks(table), doc_id, text))
+    seeds = repeated_blocks(table)
+    forget(table)
+    return lines.unionByName(runs(docs, seeds, doc_id, text))
 
 
 def repeated_blocks(table: DataFrame) -> DataFrame:
-    """The rows of ``repeats`` for blocks, from the table of ``paragraphs``."""
+    """The rows of ``repeats`` for blocks, from the table of ``paragraphs``, as a kept table."""
     texts = table.filter("start < 0")
     each = texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("block_starts", "block_ends", "block_ids")).alias("b"))
     each = each.select("doc_id", "text_hash", F.col("b.block_starts").cast("long").alias("start"), F.col("b.block_ends").cast("long").alias("end"), F.col("b.block_ids").alias("component"))
     total = texts.agg(F.coalesce(F.sum(F.size("block_ids")), F.lit(0))).first()[0]
-    bits = filter_bits(total)
-    possible = probe(each, keep(repeat_filter(each, bits, "component"), "bloom"), bits, "component").filter("maybe").drop("maybe")
-    return first_stays(keep(possible, "possible"), total).filter("occurrences > 1").withColumn("block", F.lit(True))
+    possible = flagged(each, "component", total, only=True)
+    out = keep(first_stays(possible, total).filter("occurrences > 1").withColumn("block", F.lit(True)), "seeds")
+    forget(possible)
+    return out
 
 
-def surroundings(text: str, seeds: list[dict]) -> Iterator[tuple[str, str]]:
-    """The text left and right of each block of ``seeds``: whole words, no more than AROUND a side."""
+def surroundings(text: str, seeds: list[dict]) -> Iterator[tuple[str, str, str]]:
+    """The text left of each block of ``seeds``, the block, and the text right of it: whole words, no more than AROUND a side.
+
+    Between two blocks to be removed a side ends one word inside the other block: beyond that the
+    other one is extended itself.  Blocks that stay have all their surroundings.
+    """
     bounds = [m.span() for m in WORDS.finditer(text)]
     first = np.searchsorted([a for a, _ in bounds], [x["start"] for x in seeds]).tolist()
+    going = [at for at, x in zip(first, seeds, strict=True) if x["removed"]]
     for at, x in zip(first, seeds, strict=True):
         low, high = max(0, at - AROUND), min(len(bounds), at + BLOCK + AROUND)
-        yield text[bounds[low][0] : x["start"]], text[x["end"] : bounds[high - 1][1]]
+        if x["removed"]:
+            k, n = bisect.bisect_left(going, at), bisect.bisect_right(going, at)
+            if k:
+                low = min(at, max(low, going[k - 1] + BLOCK - 1))
+            if n < len(going):
+                high = max(at + BLOCK, min(high, going[n] + 1))
+        yield text[bounds[low][0] : x["start"]], text[x["start"] : x["end"]], text[x["end"] : bounds[high - 1][1]]
 
 
 def extension(own: str, other: str, back: bool) -> int:
@@ -264,87 +293,101 @@ def extension(own: str, other: str, back: bool) -> int:
 def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``repeated_blocks`` with run_start and run_end, from a second scan of the texts that have any.
 
-    A run does not reach back into the block that stays of the same text.
+    Blocks that have not the words of their component's first one are left out.  A run does not
+    reach back into the block that stays of the same text.
     """
-    blocks = keep(blocks, "seeds")
-    names = ["start", "end", "component", "occurrences", "first_doc", "removed"]
+    names = ["start", "end", "component", "occurrences", "documents", "first_doc", "removed"]
     each = blocks.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct(*names))).alias("seeds"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     rows = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "seeds")
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    plain = f"doc_id {kind}, text_hash long, start long, end long, component long, occurrences long, first_doc {kind}, removed boolean"
+    plain = f"doc_id {kind}, text_hash long, start long, end long, component long, occurrences long, documents long, first_doc {kind}, removed boolean"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 64):
             out = []
             for key, digest, value, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out += [(key, digest, *(x[c] for c in names), *sides) for x, sides in zip(seeds, surroundings(value, seeds), strict=True)]
-            kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), batch.column(0).type, pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "text_hash", *names, "left", "right"])
+            kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), batch.column(0).type, pa.bool_(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "text_hash", *names, "left", "own", "right"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 1024):
-            starts, ends = [], []
-            for start, end, stay, left, right, before, after in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "stay", "left", "right", "f_left", "f_right")), strict=True):
+            starts, ends, same = [], [], []
+            for start, end, stay, left, own, right, before, other, after in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "stay", "left", "own", "right", "f_left", "f_own", "f_right")), strict=True):
+                same.append(own == other or own.encode().lower().split() == (other or "").encode().lower().split())
                 start_ = start - extension(left, before or "", True)
                 starts.append(start_ if stay is None else max(start_, min(start, stay)))
                 ends.append(end + extension(right, after or "", False))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*batch.schema.names[:8], "run_start", "run_end"])
-
-    around = keep(rows.mapInArrow(look, plain + ", left string, right string"), "around")
-    firsts = around.filter("not removed").dropDuplicates(["component"]).select("component", F.col("occurrences").alias("n"), F.col("text_hash").alias("f_hash"), F.col("end").alias("f_end"), F.col("left").alias("f_left"), F.col("right").alias("f_right"))
-    paired = with_group(around.filter("removed"), keep(firsts, "firsts"), ["component"], "n", max(1, blocks.count()))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:9], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*batch.schema.names[:9], "run_start", "run_end"])
+            yield out.filter(pa.array(same, pa.bool_()))
+
+    around = keep(rows.mapInArrow(look, plain + ", left string, own string, right string"), "around")
+    firsts = around.filter("not removed").dropDuplicates(["component"]).select("component", F.col("occurrences").alias("n"), F.col("text_hash").alias("f_hash"), F.col("end").alias("f_end"), F.col("left").alias("f_left"), F.col("own").alias("f_own"), F.col("right").alias("f_right"))
+    total = max(1, blocks.count())
+    forget(blocks)
+    paired = with_group(around.filter("removed"), keep(firsts, "firsts"), ["component"], "n", total)
     paired = paired.withColumn("stay", F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("f_hash")), F.col("f_end")))
     columns = ["doc_id", "text_hash", *names]
-    long = paired.select(*columns, "stay", "left", "right", "f_left", "f_right").mapInArrow(extend, plain + ", run_start long, run_end long")
+    long = paired.select(*columns, "stay", "left", "own", "right", "f_left", "f_own", "f_right").mapInArrow(extend, plain + ", run_start long, run_end long")
     kept = around.filter("not removed").select(*columns, F.col("start").alias("run_start"), F.col("end").alias("run_end"))
     return long.unionByName(kept).withColumn("block", F.lit(True))
 
 
 def first_stays(of: DataFrame, total: int) -> DataFrame:
-    """``of``, rows with component, with occurrences, first_doc and removed (false for the first of each)."""
+    """``of``, rows with component, with occurrences, documents (that have any), first_doc and removed (false for the first of each)."""
     by_doc = of.groupBy("component", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
-    groups = by_doc.groupBy("component").agg(F.sum("n").alias("occurrences"), F.min("doc_id").alias("first_doc"), F.coalesce(F.min_by("start", "doc_id"), F.min("start")).alias("first_start"))
+    groups = by_doc.groupBy("component").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"), F.coalesce(F.min_by("start", "doc_id"), F.min("start")).alias("first_start"))
     out = with_group(of, keep(groups, "groups"), ["component"], "occurrences", max(1, total))
     stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     return out.withColumn("removed", ~stays).drop("first_start")
 
 
 def by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` as (doc_id, text_hash, text) with n_paragraphs, n_repeated, n_blocks and removals.
+    """``docs`` as (doc_id, text_hash, text) with n_paragraphs, n_repeated, n_blocks, n_own_blocks and removals.
 
+    n_blocks counts the blocks that another document has too, n_own_blocks those that repeat in this
+    one alone.
     removals are the places to remove with the first document of each, in order; those that overlap
     are one.
     """
-    span = F.struct(F.col("run_start").alias("start"), F.col("run_end").alias("end"), "first_doc")
-    line = ~F.col("block")
-    each = found.groupBy("doc_id", "text_hash").agg(
+    line, key = ~F.col("block"), ["doc_id", "text_hash"]
+    found = keep(found, "repeats")
+    counts = found.groupBy(*key).agg(
         F.count_distinct(F.when(line, F.col("start"))).alias("n_paragraphs"),
         F.count_distinct(F.when(line & (F.col("occurrences") > 1), F.col("start"))).alias("n_repeated"),
-        F.count_distinct(F.when(F.col("block"), F.col("start"))).alias("n_blocks"),
-        F.array_sort(F.collect_set(F.when(F.col("removed"), span))).alias("all"),
+        F.count_distinct(F.when(F.col("block") & (F.col("documents") > 1), F.col("start"))).alias("n_blocks"),
+        F.count_distinct(F.when(F.col("block") & (F.col("documents") == 1), F.col("start"))).alias("n_own_blocks"),
     )
-    merged = F.aggregate(
-        F.slice("all", 2, F.size("all")),
-        F.slice("all", 1, 1),
-        lambda a, x: F.when(
-            x["start"] < F.element_at(a, -1)["end"],
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"), F.least(F.element_at(a, -1)["first_doc"], x["first_doc"]).alias("first_doc")))),
-        ).otherwise(F.concat(a, F.array(x))),
-    )
-    each = each.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_paragraphs", "n_repeated", "n_blocks", F.when(F.size("all") > 1, merged).otherwise(F.col("all")).alias("removals"))
+    # A removal that begins beyond the furthest end so far begins a span of its own.
+    in_order = Window.partitionBy(*key).orderBy("run_start", "run_end", "first_doc")
+    spans = found.filter("removed").select(*key, "run_start", "run_end", "first_doc").distinct()
+    reach = F.max("run_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("opens", (reach.isNull() | (F.col("run_start") >= reach)).cast("long")).withColumn("span", F.sum("opens").over(in_order))
+    spans = spans.groupBy(*key, "span").agg(F.min("run_start").alias("start"), F.max("run_end").alias("end"), F.min("first_doc").alias("first_doc"))
+    removals = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("removals"))
+    renamed = lambda df, n: df.select(F.col("doc_id").alias(f"__id{n}"), F.col("text_hash").alias(f"__hash{n}"), *[c for c in df.columns if c not in key])
+    on = lambda a, b, n: a["doc_id"].eqNullSafe(b[f"__id{n}"]) & (a["text_hash"] == b[f"__hash{n}"])
+    removals = renamed(removals, 0)
+    each = keep(counts.join(removals, on(counts, removals, 0), "left").drop("__id0", "__hash0"), "each")
+    forget(found)
+    each = renamed(each, 1)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
-    out = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").drop("__id", "__hash")
-    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_paragraphs", "n_repeated", "n_blocks")}
+    out = rows.join(each, on(rows, each, 1), "left").drop("__id1", "__hash1")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_paragraphs", "n_repeated", "n_blocks", "n_own_blocks")}
     return out.withColumns(counts | {"removals": F.coalesce("removals", F.array().cast(each.schema["removals"].dataType))})
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_paragraphs, n_repeated, n_blocks, removals and the text without them."""
+    """One row per row of ``docs``: doc_id, n_paragraphs, n_repeated, n_blocks, n_own_blocks, removals and the text without them.
+
+    Null and empty texts have no paragraphs and an empty text; equal rows get equal texts; other
+    columns are ignored, whatever their names; empty in, empty out.
+    """
     out = by_document(docs, repeats(docs, doc_id, text, similarity, min_words), doc_id, text)
     # What stays are the pieces between removals; the removal of a line takes its end with it.
     bounds = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.transform("removals", lambda x: F.struct(x["start"].alias("start"), (x["end"] + F.when(F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.lit(1)) == "\n", 1).otherwise(0)).alias("end"))))
     out = out.withColumn("__b", bounds)
     to = lambda k: F.coalesce(F.get(F.col("__b"), k + 1)["start"], F.char_length("text").cast("long"))
     pieces = F.transform("__b", lambda x, k: F.substring(F.col("text"), (x["end"] + 1).cast("int"), F.greatest(to(k) - x["end"], F.lit(0)).cast("int")))
-    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_blocks", "removals", F.array_join(pieces, "").alias("text"))
+    return out.select("doc_id", "n_paragraphs", "n_repeated", "n_blocks", "n_own_blocks", "removals", F.array_join(pieces, "").alias("text"))
