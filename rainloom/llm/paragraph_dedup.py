@@ -4,7 +4,7 @@ A paragraph is a line with at least MIN_WORDS words; A-Z are lower-cased and whi
 space.  Equal paragraphs have one id (a 64-bit hash).  Each distinct paragraph has a MinHash
 signature over the set of its five-word shingles, cut into BANDS bands of ROWS values: a pair of
 similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 3) ** 10 = 0.9992, one of 0.9 with
-probability 1 - 3e-6.  Sets of up to 3 shingles are similar only if equal and have one band, the set.
+probability 1 - 3e-6.  Sets of up to 3 shingles are similar only if equal, so they have one band.
 Buckets of a band are not paired up (see ``buckets``); each link of the exact
 Jaccard similarity that banding can see is kept.  Of each component the first
 occurrence, by document and place, stays, and all others are removals.
@@ -21,12 +21,12 @@ other words, is none.
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,23 +112,48 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows:
     return keys
 
 
+def signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
-    """(start, end, id, first word, words) of the paragraphs of a text, from the first word to the last."""
+    """(start, end, id, first word, words) of the lines of a text, from the first word to the last.
+
+    The id is 0 for a line that is no paragraph, with fewer words.
+    """
     at = before = 0
-    for line in (text or "").split("\n"):
-        words = line.encode().lower().split()
+    lines = (text or "").split("\n")
+    for line, data in zip(lines, (text or "").encode().lower().split(b"\n"), strict=True):
+        words = data.split()
         if len(words) >= min_words:
-            yield at + len(line) - len(line.lstrip(BLANK)), at + len(line.rstrip(BLANK)), int(np.array(xxhash.xxh3_64_intdigest(b" ".join(words)), np.uint64).view(np.int64)), before, words
+            yield at + len(line) - len(line.lstrip(BLANK)), at + len(line.rstrip(BLANK)), signed(xxhash.xxh3_64_intdigest(b" ".join(words))), before, words
+        elif words:
+            yield at, at, 0, before, words
         at += len(line) + 1
         before += len(words)
 
 
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[[*BLANK.encode()]] = True
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a text, in code points."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    edges = np.diff(np.concatenate(([True], _IS_BLANK[data], [True])).view(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    if len(data) == len(text):
+        return starts, ends
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return points[starts], points[ends]
+
+
 def block_places(text: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, ids) of the blocks of a text, in code points."""
     first, names = blocks(hashes)
     if not len(first):
         return first, first, names
-    starts, ends = (np.fromiter((at(m) for m in WORDS.finditer(text)), np.int64) for at in (re.Match.start, re.Match.end))
+    starts, ends = word_spans(text)
     return starts[first], ends[first + BLOCK - 1], names
 
 
@@ -144,14 +169,18 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
 
     def rows_of(ids, texts) -> Iterator[tuple]:
         for key, value in zip(ids, texts, strict=True):
-            words = (value or "").encode().lower().split()
+            lines = list(lines_of(value, min_words))
+            words = [w for line in lines for w in line[-1]]
             if len(words) < min(min_words, BLOCK):
                 continue
-            digest = np.array(xxhash.xxh64_intdigest(value, 42), np.uint64).view(np.int64)
+            digest = signed(xxhash.xxh64_intdigest(value, 42))
             hashes = np.array(ordered_hashes(words), np.uint64)
-            for start, end, name, first, own in lines_of(value, min_words):
-                shingles = hashes[first : first + len(own) - SHINGLE + 1] if len(own) > SHINGLE else np.array(ordered_hashes(own), np.uint64)
-                yield key, digest, start, end, name, NOTHING, NOTHING, NOTHING, np.unique(shingles)
+            for start, end, name, first, own in lines:
+                if len(own) < min_words:
+                    continue
+                # Shingles of the line are those of the text; repeats change no minimum.
+                shingles = hashes[first : first + len(own) - SHINGLE + 1] if len(own) >= SHINGLE else np.array(ordered_hashes(own), np.uint64)
+                yield key, digest, start, end, name, NOTHING, NOTHING, NOTHING, shingles
             if len(words) >= BLOCK:
                 yield key, digest, -1, -1, 0, *block_places(value, hashes), NOTHING.view(np.uint64)
 
@@ -159,11 +188,8 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         lines = [r for r in rows if len(r[-1])]
         sizes = np.array([len(r[-1]) for r in lines], np.int64)
         keys = band_keys(np.concatenate([r[-1] for r in lines]), np.cumsum(sizes) - sizes) if lines else np.empty((0, BANDS), np.int64)
-        # The first of the sorted shingles tells no small sets apart, all together do.
-        small = np.flatnonzero(sizes <= ALONE)
-        keys[small, 0] = [int(np.bitwise_xor.reduce(lines[k][-1] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) for k in small.tolist()]
         wanted = np.ones(keys.shape, bool)
-        wanted[small, 1:] = False
+        wanted[sizes <= ALONE, 1:] = False
         keys = keys[wanted]
         ends = np.cumsum([0 if not len(r[-1]) else 1 if len(r[-1]) <= ALONE else BANDS for r in rows])
         lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys, pa.int64()))]
@@ -198,7 +224,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            found = [(name, b" ".join(words)) for value in batch.column(0).to_pylist() for _, _, name, _, words in lines_of(value, min_words)]
+            found = [(name, b" ".join(words)) for value in batch.column(0).to_pylist() for _, _, name, _, words in lines_of(value, min_words) if len(words) >= min_words]
             for at in range(0, len(found), 5000):
                 part = found[at : at + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary())], ["id", "line"])
@@ -258,30 +284,38 @@ def repeated_blocks(table: DataFrame) -> DataFrame:
     return out
 
 
-def surroundings(text: str, seeds: list[dict]) -> Iterator[tuple[str, str, str]]:
-    """The text left of each block of ``seeds``, the block, and the text right of it: whole words, no more than AROUND a side.
+def surroundings(text: str, starts: list[int], ends: list[int], removed: list[bool]) -> Iterator[tuple[str, str, str]]:
+    """The text left of each block, the block, and the text right of it: whole words, no more than AROUND a side.
 
     Between two blocks to be removed a side ends one word inside the other block: beyond that the
     other one is extended itself.  Blocks that stay have all their surroundings.
     """
-    bounds = [m.span() for m in WORDS.finditer(text)]
-    first = np.searchsorted([a for a, _ in bounds], [x["start"] for x in seeds]).tolist()
-    going = [at for at, x in zip(first, seeds, strict=True) if x["removed"]]
-    for at, x in zip(first, seeds, strict=True):
-        low, high = max(0, at - AROUND), min(len(bounds), at + BLOCK + AROUND)
-        if x["removed"]:
-            k, n = bisect.bisect_left(going, at), bisect.bisect_right(going, at)
-            if k:
-                low = min(at, max(low, going[k - 1] + BLOCK - 1))
-            if n < len(going):
-                high = max(at + BLOCK, min(high, going[n] + 1))
-        yield text[bounds[low][0] : x["start"]], text[x["start"] : x["end"]], text[x["end"] : bounds[high - 1][1]]
+    begins, stops = word_spans(text)
+    first = np.searchsorted(begins, starts)
+    low, high = np.maximum(first - AROUND, 0), np.minimum(first + BLOCK + AROUND, len(begins))
+    gone = np.asarray(removed, bool)
+    going = np.unique(first[gone])
+    before, after = np.searchsorted(going, first, "left"), np.searchsorted(going, first, "right")
+    some = gone & (before > 0)
+    low[some] = np.minimum(first[some], np.maximum(low[some], going[before[some] - 1] + BLOCK - 1))
+    some = gone & (after < len(going))
+    high[some] = np.maximum(first[some] + BLOCK, np.minimum(high[some], going[after[some]] + 1))
+    for start, end, a, b in zip(starts, ends, begins[low].tolist(), stops[high - 1].tolist(), strict=True):
+        yield text[a:start], text[start:end], text[end:b]
 
 
 def extension(own: str, other: str, back: bool) -> int:
-    """How many code points of ``own`` hold the words it shares with ``other``, from its end if ``back``, else from its start."""
-    if own == other:
-        return len(own.lstrip(BLANK)) if back else len(own.rstrip(BLANK))
+    """How many code points of ``own`` hold the words it shares with ``other``, from its end if ``back``, else from its start.
+
+    ``own`` has whole words, with the white space between them and the block.
+    """
+    if not own:
+        return 0
+    rest = len(other) - len(own)
+    if back and other.endswith(own) and (not rest or other[rest - 1] in BLANK):
+        return len(own.lstrip(BLANK))
+    if not back and other.startswith(own) and (not rest or other[len(own)] in BLANK):
+        return len(own.rstrip(BLANK))
     places = [m.span() for m in WORDS.finditer(own)]
     ours, theirs = (x.encode().lower().split() for x in (own, other))
     if back:
@@ -305,11 +339,16 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 64):
-            out = []
-            for key, digest, value, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(key, digest, *(x[c] for c in names), *sides) for x, sides in zip(seeds, surroundings(value, seeds), strict=True)]
-            kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), batch.column(0).type, pa.bool_(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "text_hash", *names, "left", "own", "right"])
+            sizes = np.asarray(pc.list_value_length(batch.column(3)))
+            seeds = dict(zip(names, batch.column(3).flatten().flatten(), strict=True))
+            starts, ends, removed = (seeds[c].to_pylist() for c in ("start", "end", "removed"))
+            sides, at = [], 0
+            for value, n in zip(batch.column(2).to_pylist(), sizes.tolist(), strict=True):
+                sides += surroundings(value, starts[at : at + n], ends[at : at + n], removed[at : at + n])
+                at += n
+            rows_ = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            texts = [pa.array(x, pa.string()) for x in zip(*sides, strict=True)] or [pa.array([], pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), batch.column(1).take(rows_), *seeds.values(), *texts], ["doc_id", "text_hash", *names, "left", "own", "right"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 1024):
@@ -353,15 +392,19 @@ def by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     """
     line, key = ~F.col("block"), ["doc_id", "text_hash"]
     found = keep(found, "repeats")
-    counts = found.groupBy(*key).agg(
-        F.count_distinct(F.when(line, F.col("start"))).alias("n_paragraphs"),
-        F.count_distinct(F.when(line & (F.col("occurrences") > 1), F.col("start"))).alias("n_repeated"),
-        F.count_distinct(F.when(F.col("block") & (F.col("documents") > 1), F.col("start"))).alias("n_blocks"),
-        F.count_distinct(F.when(F.col("block") & (F.col("documents") == 1), F.col("start"))).alias("n_own_blocks"),
+    # Repeated rows share places, which count once; both aggregations use one shuffle.
+    places = found.select(*key, "block", "start", "occurrences", "documents").repartition(*key)
+    places = places.groupBy(*key, "block", "start").agg(F.max("occurrences").alias("occurrences"), F.max("documents").alias("documents"))
+    tally = lambda holds, name: F.sum(F.when(holds, 1).otherwise(0)).alias(name)
+    counts = places.groupBy(*key).agg(
+        tally(line, "n_paragraphs"),
+        tally(line & (F.col("occurrences") > 1), "n_repeated"),
+        tally(F.col("block") & (F.col("documents") > 1), "n_blocks"),
+        tally(F.col("block") & (F.col("documents") == 1), "n_own_blocks"),
     )
     # A removal that begins beyond the furthest end so far begins a span of its own.
     in_order = Window.partitionBy(*key).orderBy("run_start", "run_end", "first_doc")
-    spans = found.filter("removed").select(*key, "run_start", "run_end", "first_doc").distinct()
+    spans = found.filter("removed").select(*key, "run_start", "run_end", "first_doc").repartition(*key).distinct()
     reach = F.max("run_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("opens", (reach.isNull() | (F.col("run_start") >= reach)).cast("long")).withColumn("span", F.sum("opens").over(in_order))
     spans = spans.groupBy(*key, "span").agg(F.min("run_start").alias("start"), F.max("run_end").alias("end"), F.min("first_doc").alias("first_doc"))
