@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, text_of, with_group
+from .exact_dedup import divided
 from .scratch import keep
 
 MIN_SITES = 8
@@ -59,8 +60,12 @@ def remove_wide_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     hits = with_group(lines, wide, ["h1", "h2"], "n", lines.count()).filter("n is not null")
     gone = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "gone")
+    gone = keep(gone, "gone")
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).withColumn("__h", F.xxhash64("text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
+    # Texts without a line to remove, which are most, pass straight through.
+    hit, rest = divided(rows, keep(gone.select("__hash").distinct(), "hit"), "__h")
+    hit = hit.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left").drop("__id", "__hash")
+    rows = hit.unionByName(rest.withColumn("gone", F.lit(None).cast("array<int>")))
     rows = rows.select("doc_id", F.split("text", "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # What stays are the slices between the places removed; each line is looked at once.
     rows = rows.withColumn("cuts", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines"))))

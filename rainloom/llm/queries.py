@@ -77,8 +77,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
 
-    counts = map(count, range(pii.BASE))
-    return out.select("doc_id", *counts, F.sha2(pii.spelled("base").cast("binary"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"))
+    def added(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    counts, more = map(count, range(pii.BASE)), map(added, range(pii.BASE, len(pii.KINDS)))
+    beside = (F.size("spans") - F.size(F.array_distinct("base"))).cast("long").alias("n_added")
+    return out.select("doc_id", *counts, F.sha2(pii.spelled("base").cast("binary"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"), *more, beside, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

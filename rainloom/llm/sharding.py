@@ -6,6 +6,9 @@ as many arcs as shards, and successive shortest paths solve it on the driver: it
 number of shards, not of documents.  Each old shard then gives away the documents at the end of
 its order (the small ones, so that cuts fall between small documents) by running byte sums.  Only
 shards that lose or gain documents have to be written again.
+
+Documents move one by one: equal texts may lie in several shards.  A group of copies can hold a third
+of all bytes, more than one of eight shards, so groups kept whole could not have near-equal shards.
 """
 
 from __future__ import annotations
@@ -147,7 +150,8 @@ def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
 def write_affected(placed: DataFrame, path: str, old: str = "old_shard") -> DataFrame:
     """Write the shards that lost or gained rows, each to a folder shard=N; returns (shard, rows).
 
-    Shards whose rows all stayed and that got no other keep their files.
+    Shards whose rows all stayed and that got no other keep their files.  ``path`` must not exist, as
+    for any Spark writer.  Rows without an old shard have moved; an empty table writes no shard.
     """
     moved = placed.filter(~F.col(old).eqNullSafe(F.col("shard")))
     touched = [r[0] for r in moved.select(F.explode(F.array(F.col(old).cast("int"), "shard")).alias("s")).distinct().collect() if r[0] is not None]

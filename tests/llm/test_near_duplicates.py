@@ -312,3 +312,41 @@ def test_short_lines_are_paragraphs(spark):
     out = {r.doc_id: r for r in paragraph_dedup.remove_repeats(H.docs_of(spark, texts)).collect()}
     assert [out[i].n_paragraphs for i in range(3)] == [12, 11, 2] and [out[i].n_repeated for i in range(3)] == [9, 10, 1]
     assert out[0].text == texts[0] and out[1].text == line + "\n" + texts[1].rpartition("\n")[2] and out[2].text == texts[2].removesuffix(line)
+
+
+def test_close_pairs_loses_no_similar_pair(spark):
+    rng = random.Random(21)
+    base = [rng.getrandbits(63) for _ in range(150)]
+    sets = []
+    for _ in range(60):
+        own = [x if rng.random() > 0.06 else rng.getrandbits(63) for x in base]
+        sets.append(sorted(set(own)))
+    table = buckets.keep(spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>"), "test")
+    left = buckets.prefix_keys(table, 0.8).withColumn("root", F.col("id"))
+    found = {tuple(sorted((r.u, r.v))) for r in buckets.similar(buckets.close_pairs(left, table, 0.8), table, 0.8).collect()}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(a := set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])) and a}
+    assert found == want and want
+
+
+def test_near_copies_of_nulls_ties_and_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (1, text + " x", "en", "s", 1), (None, text, "en", "s", 1), (2, None, "en", "s", 1), (3, "", "en", "s", 1), (None, "alone in here", None, None, None)]
+    df = H.documents(spark, rows)
+    for c in ("id", "size", "fp", "bands", "key", "__hash", "__id", "component_id"):
+        df = df.withColumn(c, F.lit(7))
+    out = near_copies.drop_near_copies(df)
+    assert out.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert [k for k in kept if k[1] and k[1] != "alone in here"] in ([(1, text)], [(1, text + " x")])
+    assert (None, "alone in here") in kept and len(kept) == 3
+
+
+def test_blocks_of_one_document_are_counted_apart(spark):
+    rng = random.Random(31)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    own, shared = prose(80), prose(80)
+    texts = [f"{prose(20)} {own} {prose(20)} {own} {prose(9)}", f"{prose(20)} {shared} {prose(20)}", f"{prose(20)} {shared} {prose(20)}", prose(150)]
+    out = {r.doc_id: r for r in paragraph_dedup.remove_repeats(H.docs_of(spark, texts)).collect()}
+    assert out[0].n_own_blocks and not out[0].n_blocks and len(out[0].removals) == 1
+    assert out[1].n_blocks and not out[1].n_own_blocks and not out[1].removals and len(out[2].removals) == 1
+    assert not out[3].n_blocks and not out[3].n_own_blocks

@@ -231,3 +231,39 @@ def test_op9_contract(spark):
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
     for _, g in out.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+
+
+def test_a_filter_in_parts_gives_the_same(spark):
+    texts = [f"t{i % 700}" for i in range(1000)] + [None, ""]
+    assert exact_dedup.filter_size(len(texts), 1 << 12) == (1 << 12, 4) and exact_dedup.filter_size(10)[1] == 1
+    one, parts = (sorted(map(tuple, exact_dedup.duplicate_map(H.docs_of(spark, texts), max_bits=b).collect()), key=repr) for b in (exact_dedup.MAX_BITS, 1 << 12))
+    assert one == parts and len(one) == len(texts)
+    digests = exact_dedup.keep(H.docs_of(spark, texts).select(exact_dedup.text_digest().alias("sha")), "test")
+    flags = exact_dedup.flagged(digests, "sha", len(texts), 1 << 12)
+    assert flags.count() == len(texts) and flags.filter("not maybe").count() > 200
+
+
+def test_divided_loses_no_id(spark):
+    rows = spark.range(5000).withColumn("name", F.lit("x"))
+    ids = exact_dedup.keep(spark.range(0, 5000, 7), "test")
+    some, rest = exact_dedup.divided(rows, ids, "id")
+    assert some.count() + rest.count() == 5000 and rest.filter("id % 7 = 0").count() == 0 and rest.count() > 3500
+
+
+def test_op9_law_and_moves(spark):
+    if not os.path.isdir(H.DATA):
+        pytest.skip("no tables")
+    out = queries.op9_resharding(spark, H.DATA).collect()
+    size, count, old = Counter(), Counter(), Counter()
+    for r in out:
+        size[r.shard] += r.size
+        count[r.shard] += 1
+        old[r.old_shard] += r.size
+    assert sorted(size) == list(range(queries.NEW_SHARDS)) and {r.law for r in out} == {"bytes"}
+    assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in out)
+    for s, n in count.items():
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(n))
+    even = sum(size.values()) / queries.NEW_SHARDS
+    least = sum(max(0, b - even) for b in old.values())
+    moved = sum(r.size for r in out if r.shard != r.old_shard)
+    assert abs(moved - least) <= 2 * queries.NEW_SHARDS * max(r.size for r in out)
