@@ -3,8 +3,8 @@
 Each document is measured and tested against the base rules.  Failures are added up for each
 host, the failure rate of a host is shrunk towards all hosts by a beta prior that is fitted to the
 hosts themselves (method of moments), and hosts whose shrunk rate is above a limit are rejected
-with all their documents.  The verdict is joined back; a host with a third of all rows is heavy
-and its rows are not shuffled for that.
+with all their documents.  The verdict is joined back; a host with a thousandth of all rows is
+heavy (``common.HEAVY``) and its rows are not shuffled for that.
 """
 
 from __future__ import annotations
