@@ -54,7 +54,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int = SHINGLE) -> D
             for k, x in enumerate(batch.column(1).to_pylist()):
                 own = (x or "").encode().lower().split()
                 ids.append(text_id(x or ""))
-                sets.append(np.array(shingle_hashes(own, words) if own else [], np.uint64))
+                sets.append(shingle_hashes(own, words) if own else np.empty(0, np.uint64))
                 held += len(sets[-1])
                 if held >= PART:
                     yield pack(batch.column(0).slice(at, k + 1 - at), ids, sets)
@@ -77,7 +77,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, size: int = SHINGLE
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 200):
-            sets = [np.array(shingle_hashes(w, size) if (w := x.encode().lower().split()) else [], np.uint64).view(np.int64) for x in batch.column(1).to_pylist()]
+            sets = [shingle_hashes(w, size).view(np.int64) if (w := x.encode().lower().split()) else np.empty(0, np.int64) for x in batch.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "shingles"])
 

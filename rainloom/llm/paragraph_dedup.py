@@ -61,21 +61,25 @@ BROADCAST_IDS = 1_000_000
 PART = 50_000
 
 
-def ordered_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
-    """Hashes of the shingles of a paragraph in their order, repeats included."""
-    digest = xxhash.xxh3_64_intdigest
-    if len(words) <= size:
-        return [digest(b" ".join(words))]
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
+def ordered_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a paragraph in their order, repeats included; of fewer words, that of them all.
+
+    Each word is hashed once, and a shingle's hash is folded from those of its words in turn.
+    """
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(words))
     n = len(words) - size + 1
-    return [digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)]
+    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(size):
+        out ^= each[k : k + n]
+        out *= np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(32)
+    return out
 
 
-def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[int]:
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Hashes of the distinct shingles of a paragraph, sorted."""
-    return sorted(set(ordered_hashes(words, size)))
+    return np.unique(ordered_hashes(words, size))
 
 
 def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +94,10 @@ def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) <= WINDOW:
         anchors = np.array([int(np.argmin(hashes))])
     else:
-        anchors = np.unique(np.arange(len(hashes) - WINDOW + 1) + np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1))
+        windows = np.lib.stride_tricks.as_strided(hashes, (len(hashes) - WINDOW + 1, WINDOW), hashes.strides * 2, writeable=False)
+        # From window to window the place of the first least one never goes back.
+        places = np.arange(len(windows)) + windows.argmin(axis=1)
+        anchors = places[np.diff(places, prepend=-1) > 0]
     anchors = anchors[anchors < last]
     name = np.full(len(anchors), 0x9E3779B97F4A7C15, np.uint64)
     for k in range(0, BLOCK, SHINGLE):
@@ -174,12 +181,12 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
             if len(words) < min(min_words, BLOCK):
                 continue
             digest = signed(xxhash.xxh64_intdigest(value, 42))
-            hashes = np.array(ordered_hashes(words), np.uint64)
+            hashes = ordered_hashes(words)
             for start, end, name, first, own in lines:
                 if len(own) < min_words:
                     continue
                 # Shingles of the line are those of the text; repeats change no minimum.
-                shingles = hashes[first : first + len(own) - SHINGLE + 1] if len(own) >= SHINGLE else np.array(ordered_hashes(own), np.uint64)
+                shingles = hashes[first : first + len(own) - SHINGLE + 1] if len(own) >= SHINGLE else ordered_hashes(own)
                 yield key, digest, start, end, name, NOTHING, NOTHING, NOTHING, shingles
             if len(words) >= BLOCK:
                 yield key, digest, -1, -1, 0, *block_places(value, hashes), NOTHING.view(np.uint64)
@@ -231,7 +238,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            hashes = [np.array(shingle_hashes(x.split(b" ")), np.uint64).view(np.int64) for x in batch.column(1).to_pylist()]
+            hashes = [shingle_hashes(x.split(b" ")).view(np.int64) for x in batch.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(h) for h in hashes], dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*hashes, np.empty(0, np.int64)])))], ["id", "shingles"])
 
