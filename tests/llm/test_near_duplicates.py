@@ -350,3 +350,17 @@ def test_blocks_of_one_document_are_counted_apart(spark):
     assert out[0].n_own_blocks and not out[0].n_blocks and len(out[0].removals) == 1
     assert out[1].n_blocks and not out[1].n_own_blocks and not out[1].removals and len(out[2].removals) == 1
     assert not out[3].n_blocks and not out[3].n_own_blocks
+
+
+def test_shingle_hashes_and_anchors():
+    rng = random.Random(22)
+    for n in (0, 1, 4, 5, 6, 31, 36, 37, 300):
+        words = [b"w%d" % rng.randrange(4) for _ in range(n)]
+        size = min(5, n)
+        want = [tuple(words[k : k + size]) for k in range(n - size + 1)]
+        hashes = paragraph_dedup.ordered_hashes(words)
+        assert len(hashes) == len(want) and len(set(zip(hashes.tolist(), want, strict=True))) == len(set(want)) == len(set(hashes.tolist()))
+        assert paragraph_dedup.shingle_hashes(words).tolist() == sorted(set(hashes.tolist()))
+        last, window = len(hashes) - 10, 32
+        least = [min(range(k, min(k + window, len(hashes))), key=lambda i: (hashes[i], i)) for k in range(max(1, len(hashes) - window + 1))]
+        assert paragraph_dedup.blocks(hashes)[0].tolist() == sorted({i for i in least if i < last})
