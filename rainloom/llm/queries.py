@@ -23,7 +23,7 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("removals", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     # A document's repeated paragraphs are its lines and its blocks; its removals are made of them.
     repeated = (F.col("n_repeated") + F.col("n_blocks") + F.col("n_own_blocks")).alias("n_repeated")
-    return out.select("doc_id", "n_paragraphs", repeated, "n_blocks", "n_own_blocks", F.size("removals").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.array_distinct(F.transform("removals", lambda x: x["first_doc"])).alias("first_docs"))
+    return out.select("doc_id", "n_paragraphs", repeated, F.col("n_repeated").alias("n_repeated_lines"), "n_blocks", "n_own_blocks", F.size("removals").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.array_distinct(F.transform("removals", lambda x: x["first_doc"])).alias("first_docs"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import helpers as H
 import numpy as np
@@ -364,3 +365,35 @@ def test_shingle_hashes_and_anchors():
         last, window = len(hashes) - 10, 32
         least = [min(range(k, min(k + window, len(hashes))), key=lambda i: (hashes[i], i)) for k in range(max(1, len(hashes) - window + 1))]
         assert paragraph_dedup.blocks(hashes)[0].tolist() == sorted({i for i in least if i < last})
+
+
+@pytest.mark.skipif(not os.path.isdir(H.DATA), reason="no tables")
+def test_op1_counts_and_removals_against_brute_force(spark):
+    docs = sorted((r.doc_id, r.text) for r in queries.documents(spark, H.DATA).collect())
+    lines, sets, blocks = [], [], defaultdict(list)
+    for i, t in docs:
+        at = 0
+        for x in (t or "").split("\n"):
+            if len(H.words(x)) >= 5:
+                lines.append((i, at + len(x) - len(x.lstrip(" \t")), at + len(x.rstrip(" \t\r"))))
+                sets.append(H.shingles(H.lower(x)))
+            at += len(x) + 1
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        own = [t[a:b].encode().lower() for a, b in spans]
+        if len(own) < paragraph_dedup.BLOCK:
+            continue
+        for k in paragraph_dedup.blocks(paragraph_dedup.ordered_hashes(own))[0].tolist():
+            blocks[tuple(own[k : k + 15])].append((i, spans[k][0], spans[k + 14][1]))
+    roots = H.jaccard_groups(sets)
+    size = Counter(roots)
+    n_lines = Counter(lines[n][0] for n, r in enumerate(roots) if size[r] > 1)
+    many = [x for x in blocks.values() if len(x) > 1]
+    shared = Counter(p[0] for x in many if len({q[0] for q in x}) > 1 for p in x)
+    alone = Counter(p[0] for x in many if len({q[0] for q in x}) == 1 for p in x)
+    gone = [lines[n] for n, r in enumerate(roots) if r != n] + [p for x in many for p in sorted(x)[1:]]
+    out = {r.doc_id: r for r in queries.op1_paragraph_dedup(spark, H.DATA).collect()}
+    for i, _ in docs:
+        got = (out[i].n_repeated_lines, out[i].n_blocks, out[i].n_own_blocks, out[i].n_repeated)
+        assert got == (n_lines[i], shared[i], alone[i], n_lines[i] + shared[i] + alone[i])
+    removed = {i: [tuple(map(int, x.split(":"))) for x in r.removed_spans.split(",") if x] for i, r in out.items()}
+    assert gone and all(any(a <= start and end <= b for a, b in removed[i]) for i, start, end in gone)
