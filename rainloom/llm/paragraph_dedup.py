@@ -399,21 +399,23 @@ def by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     """
     line, key = ~F.col("block"), ["doc_id", "text_hash"]
     found = keep(found, "repeats")
-    # Repeated rows share places, which count once; both aggregations use one shuffle.
-    places = found.select(*key, "block", "start", "occurrences", "documents").repartition(*key)
-    places = places.groupBy(*key, "block", "start").agg(F.max("occurrences").alias("occurrences"), F.max("documents").alias("documents"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
+    # Equal rows share places, each of which is there as often as the row is; a line without block is the row itself.
+    each_row = rows.select(*key, F.lit(None).cast("boolean").alias("block"), *[F.lit(0).cast("long").alias(c) for c in ("occurrences", "documents")])
     tally = lambda holds, name: F.sum(F.when(holds, 1).otherwise(0)).alias(name)
-    counts = places.groupBy(*key).agg(
+    counts = found.select(*each_row.columns).unionByName(each_row).groupBy(*key).agg(
+        tally(F.col("block").isNull(), "equal"),
         tally(line, "n_paragraphs"),
         tally(line & (F.col("occurrences") > 1), "n_repeated"),
         tally(F.col("block") & (F.col("documents") > 1), "n_blocks"),
         tally(F.col("block") & (F.col("documents") == 1), "n_own_blocks"),
     )
-    # A removal that begins beyond the furthest end so far begins a span of its own.
+    counts = counts.select(*key, *[F.expr(f"{c} div equal").alias(c) for c in ("n_paragraphs", "n_repeated", "n_blocks", "n_own_blocks")])
+    # A removal that begins beyond the furthest end so far begins a span of its own; one that is there twice opens one span.
     in_order = Window.partitionBy(*key).orderBy("run_start", "run_end", "first_doc")
-    spans = found.filter("removed").select(*key, "run_start", "run_end", "first_doc").repartition(*key).distinct()
+    spans = found.filter("removed").select(*key, "run_start", "run_end", "first_doc")
     reach = F.max("run_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("opens", (reach.isNull() | (F.col("run_start") >= reach)).cast("long")).withColumn("span", F.sum("opens").over(in_order))
+    spans = spans.withColumn("opens", (reach.isNull() | (F.col("run_start") >= reach)).cast("long")).withColumn("span", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy(*key, "span").agg(F.min("run_start").alias("start"), F.max("run_end").alias("end"), F.min("first_doc").alias("first_doc"))
     removals = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc"))).alias("removals"))
     renamed = lambda df, n: df.select(F.col("doc_id").alias(f"__id{n}"), F.col("text_hash").alias(f"__hash{n}"), *[c for c in df.columns if c not in key])
@@ -422,7 +424,6 @@ def by_document(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text:
     each = keep(counts.join(removals, on(counts, removals, 0), "left").drop("__id0", "__hash0"), "each")
     forget(found)
     each = renamed(each, 1)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     out = rows.join(each, on(rows, each, 1), "left").drop("__id1", "__hash1")
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_paragraphs", "n_repeated", "n_blocks", "n_own_blocks")}
     return out.withColumns(counts | {"removals": F.coalesce("removals", F.array().cast(each.schema["removals"].dataType))})

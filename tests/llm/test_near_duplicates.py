@@ -397,3 +397,16 @@ def test_op1_counts_and_removals_against_brute_force(spark):
         assert got == (n_lines[i], shared[i], alone[i], n_lines[i] + shared[i] + alone[i])
     removed = {i: [tuple(map(int, x.split(":"))) for x in r.removed_spans.split(",") if x] for i, r in out.items()}
     assert gone and all(any(a <= start and end <= b for a, b in removed[i]) for i, start, end in gone)
+
+
+def test_equal_rows_count_places_once(spark):
+    rng = random.Random(41)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = prose(80)
+    texts = [f"{prose(30)}\n{prose(9)} {shared} {prose(20)}", f"{prose(12)} {shared}\n{prose(7)}", None, prose(40)]
+    once = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[1], "en", "s", 1)]
+    # What repeats is counted with the repeated rows; places and what goes are as for one row of each.
+    columns = ["doc_id", "n_paragraphs", "n_blocks", "removals", "text"]
+    one = paragraph_dedup.remove_repeats(H.documents(spark, once)).select(*columns).collect()
+    three = paragraph_dedup.remove_repeats(H.documents(spark, once[:3] * 3 + once[3:] + once[4:])).select(*columns).collect()
+    assert {str(r) for r in one} == {str(r) for r in three} and len(three) == 12 and any(r.n_blocks for r in one)
