@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
 from .common import small_parts, text_of, with_group
-from .exact_dedup import flagged
+from .exact_dedup import divided, flagged
 from .scratch import forget, keep
 
 SHINGLE = 5
@@ -339,7 +339,10 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
     """
     names = ["start", "end", "component", "occurrences", "documents", "first_doc", "removed"]
     each = blocks.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct(*names))).alias("seeds"))
+    each = keep(each, "seeds-of")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
+    # Texts that certainly have no block are not shuffled.
+    rows, _ = divided(rows, each.select("__hash"), "text_hash")
     rows = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "text", "seeds")
     kind = blocks.schema["doc_id"].dataType.simpleString()
     plain = f"doc_id {kind}, text_hash long, start long, end long, component long, occurrences long, documents long, first_doc {kind}, removed boolean"
@@ -369,6 +372,7 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
             yield out.filter(pa.array(same, pa.bool_()))
 
     around = keep(rows.mapInArrow(look, plain + ", left string, own string, right string"), "around")
+    forget(each)
     firsts = around.filter("not removed").dropDuplicates(["component"]).select("component", F.col("occurrences").alias("n"), F.col("text_hash").alias("f_hash"), F.col("end").alias("f_end"), F.col("left").alias("f_left"), F.col("own").alias("f_own"), F.col("right").alias("f_right"))
     total = max(1, blocks.count())
     forget(blocks)
