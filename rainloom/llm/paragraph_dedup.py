@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
 from .common import small_parts, text_of, with_group
-from .exact_dedup import divided, flagged
+from .exact_dedup import divided, filter_size, flagged, member_filter, probe
 from .scratch import forget, keep
 
 SHINGLE = 5
@@ -258,6 +258,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     they are kept or removed alike.  A null doc_id is after all others.  Columns other than the
     two named are ignored; empty in, empty out.
     """
+    key = ["doc_id", "text_hash"]
     table = keep(paragraphs(docs, doc_id, text, min_words), "paragraphs")
     rows = table.filter("start >= 0").select("doc_id", "text_hash", "start", "end", "id", "bands")
     places = rows.select("doc_id", "text_hash", "start", "end", "id")
@@ -268,12 +269,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     forget(ids)
     roots = link_buckets(members, lambda pairs: similar(pairs, sets, similarity), lambda some: sets.join(some, "id", "left_semi"), similarity)
     forget(members, sets)
-    named = keep(distinct.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("component")), "named")
+    # Ids that occur once and are linked to none are left out: a filter of the others lets their places pass straight through.
+    named = distinct.join(roots, F.col("id") == F.col("node"), "left").filter("n > 1 or root is not null")
+    named = keep(named.select("id", "n", F.coalesce("root", "id").alias("component")), "named")
     forget(distinct, roots)
     total = rows.count()
-    of = keep(with_group(places, named, ["id"], "n", total).drop("n", "id"), "of")
+    bits, _ = filter_size(named.count())
+    tested = keep(probe(places, keep(member_filter(named.select("id"), bits, "id"), "ids-bloom"), bits, "id"), "tested")
+    of = with_group(tested.filter("maybe").drop("maybe"), named, ["id"], "n", total)
+    of = keep(of.withColumn("component", F.coalesce("component", "id")).drop("n", "id"), "of")
     forget(named)
-    lines = first_stays(of, total).withColumns({"block": F.lit(False), "run_start": F.col("start"), "run_end": F.col("end")})
+    one = F.lit(1).cast("long")
+    alone = tested.filter("not maybe").select(*key, "start", "end", F.col("id").alias("component"), one.alias("occurrences"), one.alias("documents"), F.col("doc_id").alias("first_doc"), F.lit(False).alias("removed"))
+    lines = first_stays(of, total).unionByName(alone).withColumns({"block": F.lit(False), "run_start": F.col("start"), "run_end": F.col("end")})
     seeds = repeated_blocks(table)
     forget(table)
     return lines.unionByName(runs(docs, seeds, doc_id, text))
