@@ -140,19 +140,17 @@ def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int,
         before += len(words)
 
 
-_IS_BLANK = np.zeros(256, bool)
-_IS_BLANK[[*BLANK.encode()]] = True
-
-
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words of a text, in code points."""
     data = np.frombuffer(text.encode(), np.uint8)
-    edges = np.diff(np.concatenate(([True], _IS_BLANK[data], [True])).view(np.int8))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    if len(data) == len(text):
-        return starts, ends
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return points[starts], points[ends]
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = (data == 0x20) | (data - np.uint8(0x09) <= 0x0D - 0x09)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    if len(data) != len(text):
+        points = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        edges = points[edges]
+    return edges[::2], edges[1::2]
 
 
 def block_places(text: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +229,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            found = [(name, b" ".join(words)) for value in batch.column(0).to_pylist() for _, _, name, _, words in lines_of(value, min_words) if len(words) >= min_words]
+            split = (data.split() for value in batch.column(0).to_pylist() for data in (value or "").encode().lower().split(b"\n"))
+            found = [(signed(xxhash.xxh3_64_intdigest(line)), line) for line in (b" ".join(words) for words in split if len(words) >= min_words)]
             for at in range(0, len(found), 5000):
                 part = found[at : at + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary())], ["id", "line"])
