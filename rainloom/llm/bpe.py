@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_parts
+from .common import small_parts, tidy
 from .vocabulary import Memo, Vocabulary, pieces, vocabulary
 
 ENDLESS = 1 << 60
+#: Entries of a generation of remembered pieces and pairs: both memos of a worker hold some 45 MB at most, whatever the corpus.
+PIECES_HELD, PAIRS_HELD = 100_000, 60_000
 
 
 class Encoder:
@@ -31,9 +33,9 @@ class Encoder:
         for i, token in words.tokens.items():
             self.suffixes.add_word(token.decode("latin-1"), (i, len(token)))
         self.suffixes.make_automaton()
-        self.fits = Memo(self.compatible, 150_000)
+        self.fits = Memo(self.compatible, PAIRS_HELD)
         self.whole: dict[int, bool] = {}
-        self.ids_of = Memo(lambda piece: self.encode_piece(piece.encode()), longest=64)
+        self.ids_of = Memo(lambda piece: self.encode_piece(piece.encode()), PIECES_HELD, longest=64)
         spelled = dict(words.tokens) | {i: s.encode() for s, i in words.specials.items()}
         spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
@@ -146,6 +148,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     are encoded again; other columns are ignored, whatever their names; empty in, empty out.
     """
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in small_parts(batches):
@@ -165,6 +168,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 def decode_documents(encoded: DataFrame, path: str, doc_id: str = "doc_id", token_ids: str = "token_ids") -> DataFrame:
     """One row per row of ``encoded``: doc_id and the text that token_ids decode to; null is none."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in small_parts(batches):

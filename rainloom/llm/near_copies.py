@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
-from .common import shielded, small_parts, text_of, unshielded, with_group
+from .common import shielded, small_parts, text_of, tidy, unshielded, with_group
 from .components import components
 from .paragraph_dedup import PART, band_keys, shingle_hashes
 from .scratch import forget, keep
@@ -48,6 +48,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, words: int = SHINGLE) -> D
         offsets = pa.array(np.concatenate(([0], np.cumsum(BANDS * (sizes > 0)))), pa.int32())
         return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array(sizes), pa.array([majority(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(bands))], ["doc_id", "id", "size", "fp", "bands"])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
             ids, sets, at, held = [], [], 0, 0
@@ -75,6 +76,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, size: int = SHINGLE
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 200):
             sets = [shingle_hashes(w, size).view(np.int64) if (w := x.encode().lower().split()) else np.empty(0, np.int64) for x in batch.column(1).to_pylist()]

@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 
 import helpers as H
 import numpy as np
@@ -59,6 +60,19 @@ def test_memo_is_bounded():
     assert len(memo) <= 10 and len(memo.old) <= 10 and memo["x" * 50] == 50 and "x" * 50 not in memo
 
 
+def test_what_an_encoder_remembers_is_small(library):
+    coder = bpe.Encoder(bpe.vocabulary(H.VOCABULARY))
+    rng = random.Random(56)
+    for _ in range(39):
+        text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(10_000))
+        ids = np.frombuffer(coder.encode(text), "<u4").tolist()
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    held = [generation for memo in (coder.ids_of, coder.fits) for generation in (memo, memo.old)]
+    # True and False are there once, whatever holds them.
+    size = sum(sys.getsizeof(x) + sum(sys.getsizeof(k) + (0 if isinstance(v, bool) else sys.getsizeof(v)) for k, v in x.items()) for x in held)
+    assert size < 50e6
+
+
 def test_documents(spark, library):
     texts = [None, "", "Hello <|endoftext|> world", "été 日本 \U0001f600", "word " * 600, "a\u0000b"]
     df = H.docs_of(spark, texts).unionByName(H.docs_of(spark, texts[:2]))
