@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
-from .common import small_parts, text_of, with_group
+from .common import small_parts, text_of, tidy, with_group
 from .exact_dedup import divided, filter_size, flagged, member_filter, probe
 from .scratch import forget, keep
 
@@ -203,6 +203,7 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         plain = [pa.array([r[0] for r in rows], kind), *(pa.array(np.array([r[k] for r in rows], np.int64)) for k in (1, 2, 3, 4))]
         return pa.RecordBatch.from_arrays([*plain, *lists], ["doc_id", "text_hash", "start", "end", "id", "bands", "block_starts", "block_ends", "block_ids"])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
             held, size = [], 0
@@ -227,6 +228,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
     by shuffle.
     """
 
+    @tidy
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
             split = (data.split() for value in batch.column(0).to_pylist() for data in (value or "").encode().lower().split(b"\n"))
@@ -235,6 +237,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
                 part = found[at : at + 5000]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary())], ["id", "line"])
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
             hashes = [shingle_hashes(x.split(b" ")).view(np.int64) for x in batch.column(1).to_pylist()]
@@ -246,6 +249,16 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
     return rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles array<long>")
 
 
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """Rows (id, n, bands): each distinct paragraph once, with the number of its rows.
+
+    Equal paragraphs have equal bands, so any aggregate takes them: as plain numbers they are
+    aggregated by hash, while arrays would be sorted, before the shuffle and after it.
+    """
+    each = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.get("bands", F.lit(k))).alias(f"b{k}") for k in range(BANDS)])
+    return each.select("id", "n", F.array_compact(F.array(*[f"b{k}" for k in range(BANDS)])).alias("bands"))
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, text_hash, start, end, component, occurrences, documents, first_doc, removed, block, run_start, run_end).
 
@@ -261,7 +274,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     table = keep(paragraphs(docs, doc_id, text, min_words), "paragraphs")
     rows = table.filter("start >= 0").select("doc_id", "text_hash", "start", "end", "id", "bands")
     places = rows.select("doc_id", "text_hash", "start", "end", "id")
-    distinct = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("bands").alias("bands")), "distinct")
+    distinct = keep(distinct_lines(rows), "distinct")
     members = shared_buckets(distinct.select("id", "n", F.explode("bands").alias("key")))
     ids = keep(members.select("id").distinct(), "ids")
     sets = keep(shingle_sets(docs, ids, text, min_words), "sets")
@@ -354,6 +367,7 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
     kind = blocks.schema["doc_id"].dataType.simpleString()
     plain = f"doc_id {kind}, text_hash long, start long, end long, component long, occurrences long, documents long, first_doc {kind}, removed boolean"
 
+    @tidy
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 64):
             sizes = np.asarray(pc.list_value_length(batch.column(3)))
@@ -367,6 +381,7 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
             texts = [pa.array(x, pa.string()) for x in zip(*sides, strict=True)] or [pa.array([], pa.string())] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), batch.column(1).take(rows_), *seeds.values(), *texts], ["doc_id", "text_hash", *names, "left", "own", "right"])
 
+    @tidy
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 1024):
             starts, ends, same = [], [], []

@@ -399,6 +399,18 @@ def test_op1_counts_and_removals_against_brute_force(spark):
     assert gone and all(any(a <= start and end <= b for a, b in removed[i]) for i, start, end in gone)
 
 
+def test_distinct_lines_are_not_sorted(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    docs = H.docs_of(spark, [f"{line}\none two three four five six", line.upper(), None, "", "one two three four five"])
+    rows = paragraph_dedup.paragraphs(docs).filter("start >= 0")
+    want = {r.id: sorted(r.bands) for r in rows.collect()}
+    out = paragraph_dedup.distinct_lines(rows)
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert {r.id: sorted(r.bands) for r in got} == want and sorted(r.n for r in got) == [1, 1, 2]
+    assert sorted(map(len, want.values())) == [1, 1, paragraph_dedup.BANDS]
+
+
 def test_equal_rows_count_places_once(spark):
     rng = random.Random(41)
     prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
