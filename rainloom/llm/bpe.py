@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,12 +30,15 @@ PIECES_HELD, PAIRS_HELD = 100_000, 60_000
 class Encoder:
     def __init__(self, words: Vocabulary) -> None:
         self.words = words
+        self.whole: dict[int, bool] = {}
+        # A token whose bytes encode to others ends no encoding.
         self.suffixes = ahocorasick.Automaton()
         for i, token in words.tokens.items():
-            self.suffixes.add_word(token.decode("latin-1"), (i, len(token)))
+            if self.is_whole(i):
+                self.suffixes.add_word(token.decode("latin-1"), (i, len(token)))
         self.suffixes.make_automaton()
+        self.whole.clear()
         self.fits = Memo(self.compatible, PAIRS_HELD)
-        self.whole: dict[int, bool] = {}
         self.ids_of = Memo(lambda piece: self.encode_piece(piece.encode()), PIECES_HELD, longest=64)
         spelled = dict(words.tokens) | {i: s.encode() for s, i in words.specials.items()}
         spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
@@ -88,7 +92,7 @@ class Encoder:
         last, back, done = [-1] * (n + 1), [0] * (n + 1), 0
         for end, (token, size) in self.suffixes.iter(piece.decode("latin-1")):
             end += 1
-            if end == done or not self.is_whole(token):
+            if end == done:
                 continue
             start = end - size
             if start == 0 or last[start] >= 0 and self.fits[last[start] << 32 | token]:
@@ -99,7 +103,7 @@ class Encoder:
                 raise ValueError("the vocabulary does not cover this piece")
             out.append(last[n])
             n = back[n]
-        return np.array(out[::-1], "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out[::-1])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as ``encode_piece`` gives them."""
