@@ -23,7 +23,7 @@ from .common import small_parts, tidy
 from .vocabulary import Memo, Vocabulary, pieces, vocabulary
 
 ENDLESS = 1 << 60
-#: Entries of a generation of remembered pieces and pairs: both memos of a worker hold some 45 MB at most, whatever the corpus.
+#: Entries of a generation of remembered pieces and pairs; the test of what an encoder remembers measures 33 MB.
 PIECES_HELD, PAIRS_HELD = 100_000, 60_000
 
 
