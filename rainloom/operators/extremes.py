@@ -269,22 +269,43 @@ def gpd_model_comparison_bootstrap(df: DataFrame, *, value: str = "excess", cova
     return _pairs(df, keys, kernel, (*COMPARISON, ("lr_pvalue_bootstrap", D), ("lr_critical", D)), value, covariate, time)
 
 
+#: So many resamples of a series are one group, in one of at least so many partitions, which Spark does not put together again.
+RESAMPLES, PARTITIONS = 50, 100
+
+
 def gpd_nonstationary_ci(df: DataFrame, *, value: str = "excess", covariate: str = "covariate", time: str = "time", keys: Sequence[str] = (), n_resamples: int = 500, alpha: float = 0.05, random_state: int = 0) -> DataFrame:
-    """Rows (keys, three parameters, each with ci_lower and ci_upper, n_exceedances) by parametric bootstrap."""
+    """Rows (keys, three parameters, each with ci_lower and ci_upper, n_exceedances) by parametric bootstrap.
+
+    A series is fitted again in each group of its resamples, which go on in one stream of draws.
+    """
     _check(alpha, n_resamples)
     names = ("shape", "log_scale_intercept", "log_scale_covariate")
+    resampled = [f"__{n}" for n in names]
 
-    def kernel(y, x):
-        y, z, _, _ = K.clean_pair(y, x)
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["__first"].iloc[0])
+        pdf = pdf.sort_values([time, value, covariate], kind="stable")
+        y, z, _, _ = K.clean_pair(pdf[value].to_numpy(float, na_value=np.nan), pdf[covariate].to_numpy(float, na_value=np.nan))
         p, _ = K.gpd_fit_covariate(y, z)
         scale, rng = np.exp(p[1] + p[2] * z), np.random.default_rng(random_state)
-        fits = np.array([K.gpd_fit_covariate(K.gpd_ppf(p[0], 1.0, rng.random(y.size)) * scale, z)[0] for _ in range(n_resamples)])
-        fits = fits[np.isfinite(fits).all(axis=1)]
-        bounds = [_interval(fits[:, k], alpha, n_resamples) for k in range(3)]
-        return *map(float, p), *(b for pair in bounds for b in pair), int(y.size)
+        rng.bit_generator.advance(first * y.size)
+        fits = [K.gpd_fit_covariate(K.gpd_ppf(p[0], 1.0, rng.random(y.size)) * scale, z)[0] for _ in range(min(RESAMPLES, n_resamples - first))]
+        return pd.DataFrame([(*p, int(y.size), *fit) for fit in fits], columns=[*names, "n_exceedances", *resampled])
 
-    columns = (*((n, D) for n in names), *((f"{n}_{b}", D) for n in names for b in ("ci_lower", "ci_upper")), ("n_exceedances", L))
-    return _pairs(df, keys, kernel, columns, value, covariate, time)
+    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        fits = pdf[resampled].to_numpy(float, na_value=np.nan)
+        fits = fits[np.isfinite(fits).all(axis=1)]
+        row = pdf[[*names, "n_exceedances"]].head(1).reset_index(drop=True)
+        for k, n in enumerate(names):
+            row[f"{n}_ci_lower"], row[f"{n}_ci_upper"] = _interval(fits[:, k], alpha, n_resamples)
+        return row
+
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1), F.lit(RESAMPLES)))
+    rows = df.select(*keys, time, F.col(value).cast(D).alias(value), F.col(covariate).cast(D).alias(covariate), firsts.alias("__first"))
+    rows = rows.repartition(max(PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "__first")
+    each = per_series(rows, [*keys, "__first"], draw, ", ".join([*(f"{n} double" for n in names), "n_exceedances long", *(f"{n} double" for n in resampled)]))
+    columns = ", ".join([*(f"{n} double" for n in names), *(f"{n}_{b} double" for n in names for b in ("ci_lower", "ci_upper")), "n_exceedances long"])
+    return nan_to_null(per_series(each, keys, bounds, columns))
 
 
 def pot_threshold_bootstrap(df: DataFrame, thresholds: Sequence[float], return_period: float, *, value: str = "value", time: str = "time", keys: Sequence[str] = (), n_resamples: int = 500, alpha: float = 0.05, random_state: int = 0) -> DataFrame:

@@ -248,3 +248,29 @@ def test_fdr_mask_equals_the_step_up_rule(spark):
         limit = own[holds].max() if holds.any() else -1
         assert all(r.significant_fdr == (r.pvalue is not None and r.pvalue <= limit) for r in got if r.g == g)
     assert len(got) == len(rows)
+
+
+def test_nonstationary_ci_draws_one_stream_in_many_partitions(spark):
+    from rainloom.functions import kernels as K
+
+    rng = np.random.default_rng(8)
+    rows = [(k, t, float(y), float(t % 12)) for k in ("a", "b") for t, y in enumerate(rng.exponential(10, 40))]
+    df = spark.createDataFrame(rows, "k string, time long, excess double, covariate double")
+    got = {r.k: r for r in extremes.gpd_nonstationary_ci(df, keys=["k"], n_resamples=120).collect()}
+    for k in "ab":
+        y, z, _, _ = K.clean_pair([r[2] for r in rows if r[0] == k], [r[3] for r in rows if r[0] == k])
+        p, _ = K.gpd_fit_covariate(y, z)
+        draws = np.random.default_rng(0).random((120, 40))
+        fits = np.array([K.gpd_fit_covariate(K.gpd_ppf(p[0], 1.0, u) * np.exp(p[1] + p[2] * z), z)[0] for u in draws])
+        bounds = np.quantile(fits, [0.025, 0.975], axis=0).T.ravel()
+        assert list(got[k])[1:] == pytest.approx([*p, *bounds, 40], rel=1e-12)
+    alone = extremes.gpd_nonstationary_ci(df.filter("k = 'a'"), n_resamples=120).first()
+    assert list(alone) == list(got["a"])[1:]
+    work = []
+    real = extremes.per_series
+    extremes.per_series = lambda rows, keys, *a: work.append((list(keys), rows.rdd.getNumPartitions())) or real(rows, keys, *a)
+    try:
+        extremes.gpd_nonstationary_ci(df, keys=["k"], n_resamples=120)
+    finally:
+        extremes.per_series = real
+    assert work[0] == (["k", "__first"], extremes.PARTITIONS)
