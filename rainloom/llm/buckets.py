@@ -73,17 +73,24 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     prefixes = keep(prefix_keys(sets, similarity), "prefixes")
     again = shared_buckets(prefixes)
     second = keep(similar(_apart(_leader_pairs(again), roots), sets, similarity), "second")
-    forget(roots)
-    roots = components(first.unionByName(second))
+    # The stars of the links so far stand for them.
+    roots = _joined(roots, second)
     left = keep(_in_open(prefixes.join(again.filter("id <> leader").select("key", "id"), ["key", "id"], "left_semi"), roots, "key"), "left")
     forget(rest, prefixes, again)
     if left.isEmpty():
         forget(sets, left, first, second)
         return roots
     third = keep(similar(close_pairs(left, sets, similarity), sets, similarity), "third")
-    forget(sets, left, roots)
-    out = components(first.unionByName(second).unionByName(third))
-    forget(first, second, third)
+    forget(sets, left, first, second)
+    out = _joined(roots, third)
+    forget(third)
+    return out
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of more links (u, v) and those that ``roots``, which is forgotten, came from."""
+    out = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+    forget(roots)
     return out
 
 

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., 2014): every node points all its
 larger neighbours at its smallest one, then all its smaller ones.  The rounds end when the edges
-do not change; then they are stars with the smallest node of each component in the middle.
+are stars with the smallest node of each component in the middle: no round would change them.
 Minima are taken by partial aggregation.  From SPLIT edges on a node with very many of them is joined
 by broadcast (``with_group``), so its edges stay in the tasks that have read them; fewer edges than
 that, 16 bytes each, are no load for a task.
@@ -37,6 +37,13 @@ def _star(edges: DataFrame, larger: bool, total: int) -> DataFrame:
     return moved.filter("u < v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether rows (u, v), u < v, each edge once, are stars: every v has one edge and is no u."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not nodes.agg(F.count_if(F.col("down") + F.col("up") > 1)).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node with an edge, from rows (u, v); root is the smallest node.
 
@@ -44,18 +51,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges; no edges, no rows.  The result is a kept table, which the caller may forget.
     """
     now = keep(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = now.agg(mark).first()
-    if before[0][0]:
+    if total := now.count():
         for _ in range(ROUNDS):
-            large = keep(_star(now, True, before[0][0]), "large")
+            large = keep(_star(now, True, total), "large")
             forget(now)
-            now = keep(_star(large, False, before[0][0]), "small")
+            now = keep(_star(large, False, total), "small")
             forget(large)
-            after = now.agg(mark).first()
-            if after == before:
+            if _settled(now):
                 break
-            before = after
         else:
             raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     out = keep(now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()), "roots")

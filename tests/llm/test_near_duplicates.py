@@ -94,6 +94,23 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_of_a_star_take_one_round_and_more_links_join_them(spark, monkeypatch):
+    from rainloom.llm import buckets
+
+    written, real = [], components.keep
+    monkeypatch.setattr(components, "keep", lambda df, name, *by: written.append(name) or real(df, name, *by))
+    roots = components.components(spark.createDataFrame([(9, k) for k in range(8)], "u long, v long"))
+    assert written == ["edges", "large", "small", "roots"]
+    assert {tuple(r) for r in roots.collect()} == {(k, 0) for k in (*range(8), 9)}
+    joined = buckets._joined(roots, spark.createDataFrame([(20, 21), (9, 30), (-1, 7)], "u long, v long"))
+    assert {tuple(r) for r in joined.collect()} == {(k, -1) for k in (-1, *range(8), 9, 30)} | {(20, 20), (21, 20)}
+
+
+def test_settled_edges_are_stars(spark):
+    for edges, stars in (([(1, 2), (1, 3), (4, 5)], True), ([(1, 3), (2, 3)], False), ([(1, 2), (2, 3)], False)):
+        assert components._settled(spark.createDataFrame(edges, "u long, v long")) is stars
+
+
 def test_fingerprint_and_near_duplicates(spark):
     base = [f"w{k}" for k in range(300)]
     texts = [None, "", " ", "one", "One", "one two", " ".join(base), " ".join(base).upper(), " ".join([*base[:-1], "x"]), "é É é"]
