@@ -28,13 +28,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_buckets, similar
 from .common import small_parts, text_of, tidy, with_group
 from .exact_dedup import divided, filter_size, flagged, member_filter, probe
 from .scratch import forget, keep
+from .words import PADDING, word_edges, word_hashes
 
 SHINGLE = 5
 #: A line of fewer words has no shingle.
@@ -59,6 +60,8 @@ ADDENDS = _RNG.integers(0, 1 << 63, FUNCTIONS, dtype=np.uint64)
 BROADCAST_IDS = 1_000_000
 #: Lines that are worked on together have at most so many shingles, unless one line has more.
 PART = 50_000
+#: Texts that are worked on together have at most so many bytes, unless one text has more.
+TEXTS = 1 << 18
 
 
 def ordered_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -66,9 +69,12 @@ def ordered_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
     Each word is hashed once, and a shingle's hash is folded from those of its words in turn.
     """
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1
+    return folded(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), min(size, len(words)))
+
+
+def folded(each: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words, from those of the words."""
+    n = len(each) - size + 1
     out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     for k in range(size):
         out ^= each[k : k + n]
@@ -99,11 +105,54 @@ def blocks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = np.arange(len(windows)) + windows.argmin(axis=1)
         anchors = places[np.diff(places, prepend=-1) > 0]
     anchors = anchors[anchors < last]
+    return anchors, block_names(hashes, anchors)
+
+
+def block_names(hashes: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     name = np.full(len(anchors), 0x9E3779B97F4A7C15, np.uint64)
     for k in range(0, BLOCK, SHINGLE):
         name = (name ^ hashes[anchors + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
         name ^= name >> np.uint64(31)
-    return anchors, name.view(np.int64)
+    return name.view(np.int64)
+
+
+def runs_marked(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places are in a run of ``sizes``, 1 or more, from ``starts``; runs do not overlap."""
+    edges = np.zeros(n + 1, np.int8)
+    edges[starts] += 1
+    edges[starts + sizes] -= 1
+    return np.cumsum(edges[:-1], dtype=np.int8).view(bool)
+
+
+def anchors_of_texts(hashes: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Places of the anchors of ``blocks`` in the texts whose words begin at ``first`` in ``hashes``, in order.
+
+    ``hashes`` goes on from text to text; texts have BLOCK words or more.  An anchor is the least
+    of a window that has it: its hash is the greatest of the minima of those windows.  That does not
+    tell apart equal hashes in one window; the few texts with any go through ``blocks`` alone.
+    """
+    n = n_words - SHINGLE + 1
+    long = n > WINDOW
+    places = [np.array([a + int(np.argmin(hashes[a : a + k])) for a, k in zip(first[~long].tolist(), n[~long].tolist(), strict=True)], np.int64)]
+    if long.any():
+        least = hashes
+        for k in (1, 2, 4, 8, 16):
+            least = np.minimum(least[:-k], least[k:])
+        whole = runs_marked(first[long], n[long] - WINDOW + 1, len(least))
+        most = np.zeros(len(least) + 2 * (WINDOW - 1), np.uint64)
+        np.multiply(least, whole, out=most[WINDOW - 1 : len(least) + WINDOW - 1])
+        for k in (1, 2, 4, 8, 16):
+            most = np.maximum(most[:-k], most[k:])
+        found = np.flatnonzero((most == hashes) & (most != 0))
+        twice = found[1:][(np.diff(found) < WINDOW) & (hashes[found[1:]] == hashes[found[:-1]])]
+        if len(twice):
+            texts = np.unique(np.searchsorted(first, twice, "right") - 1)
+            found = found[~np.isin(np.searchsorted(first, found, "right") - 1, texts)]
+            places += [first[x] + blocks(hashes[first[x] : first[x] + n[x]])[0] for x in texts.tolist()]
+        places.append(found)
+    found = np.sort(np.concatenate(places))
+    text = np.searchsorted(first, found, "right") - 1
+    return found[found - first[text] < n_words[text] - BLOCK + 1]
 
 
 def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -123,46 +172,21 @@ def signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def lines_of(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, int, list[bytes]]]:
-    """(start, end, id, first word, words) of the lines of a text, from the first word to the last.
-
-    The id is 0 for a line that is no paragraph, with fewer words.
-    """
-    at = before = 0
-    lines = (text or "").split("\n")
-    for line, data in zip(lines, (text or "").encode().lower().split(b"\n"), strict=True):
-        words = data.split()
-        if len(words) >= min_words:
-            yield at + len(line) - len(line.lstrip(BLANK)), at + len(line.rstrip(BLANK)), signed(xxhash.xxh3_64_intdigest(b" ".join(words))), before, words
-        elif words:
-            yield at, at, 0, before, words
-        at += len(line) + 1
-        before += len(words)
-
-
 def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words of a text, in code points."""
     data = np.frombuffer(text.encode(), np.uint8)
-    blank = np.ones(len(data) + 2, bool)
-    blank[1:-1] = (data == 0x20) | (data - np.uint8(0x09) <= 0x0D - 0x09)
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = word_edges(data)
     if len(data) != len(text):
-        points = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
-        edges = points[edges]
-    return edges[::2], edges[1::2]
+        points = code_points(data)
+        starts, ends = points[starts], points[ends]
+    return starts, ends
 
 
-def block_places(text: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, ids) of the blocks of a text, in code points."""
-    first, names = blocks(hashes)
-    if not len(first):
-        return first, first, names
-    starts, ends = word_spans(text)
-    return starts[first], ends[first + BLOCK - 1], names
-
-
-NOTHING = np.empty(0, np.int64)
+def code_points(data: np.ndarray) -> np.ndarray:
+    """How many code points begin before each byte, and before the end."""
+    points = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    return points
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -172,55 +196,84 @@ def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     Places are code points, end exclusive.
     """
 
-    def rows_of(ids, texts) -> Iterator[tuple]:
-        for key, value in zip(ids, texts, strict=True):
-            lines = list(lines_of(value, min_words))
-            words = [w for line in lines for w in line[-1]]
-            if len(words) < min(min_words, BLOCK):
-                continue
-            digest = signed(xxhash.xxh64_intdigest(value, 42))
-            hashes = ordered_hashes(words)
-            for start, end, name, first, own in lines:
-                if len(own) < min_words:
-                    continue
-                # Shingles of the line are those of the text; repeats change no minimum.
-                shingles = hashes[first : first + len(own) - SHINGLE + 1] if len(own) >= SHINGLE else ordered_hashes(own)
-                yield key, digest, start, end, name, NOTHING, NOTHING, NOTHING, shingles
-            if len(words) >= BLOCK:
-                yield key, digest, -1, -1, 0, *block_places(value, hashes), NOTHING.view(np.uint64)
-
-    def pack(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        lines = [r for r in rows if len(r[-1])]
-        sizes = np.array([len(r[-1]) for r in lines], np.int64)
-        keys = band_keys(np.concatenate([r[-1] for r in lines]), np.cumsum(sizes) - sizes) if lines else np.empty((0, BANDS), np.int64)
+    def pack(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        low = b"\n".join([*texts, b"\n" * PADDING]).lower()
+        data = np.frombuffer(low, np.uint8)
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+        starts, ends = word_edges(data)
+        first = np.searchsorted(starts, begins)
+        n_words = np.diff(first, append=len(starts))
+        points = np.arange(len(data) + 1) if low.isascii() else code_points(data)
+        place = lambda at, text: points[at] - points[begins[text]]
+        each = word_hashes(data, starts, ends)
+        hashes = folded(each, SHINGLE) if len(each) >= SHINGLE else np.empty(0, np.uint64)
+        # Lines with so many words.
+        breaks = np.flatnonzero(data == 0x0A)
+        to = np.searchsorted(starts, breaks)
+        n = np.diff(to, prepend=0)
+        lines = np.flatnonzero(n >= max(1, min_words))
+        n, head = n[lines], to[lines] - n[lines]
+        a, b = starts[head], ends[head + n - 1]
+        # A line of words with one space between them is as its id wants it.
+        other = np.flatnonzero((data - np.uint8(0x09) <= 0x0D - 0x09) & (data != 0x0A))
+        upto = np.concatenate(([0], np.cumsum(ends - starts)))
+        plain = (b - a - (upto[head + n] - upto[head]) == n - 1) & (np.searchsorted(other, a) == np.searchsorted(other, b))
+        own = [low[x:y] if p else b" ".join(low[x:y].split()) for x, y, p in zip(a.tolist(), b.tolist(), plain.tolist(), strict=True)]
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64)
+        # Shingles of a line are those of the text; repeats change no minimum.
+        sizes = np.maximum(n - SHINGLE + 1, 1)
+        if min_words >= SHINGLE:
+            shingles = hashes[runs_marked(head, sizes, len(hashes))]
+        else:
+            shingles = np.concatenate([hashes[:0], *(hashes[h : h + k - SHINGLE + 1] if k >= SHINGLE else ordered_hashes(x.split()) for h, k, x in zip(head.tolist(), n.tolist(), own, strict=True))])
+        keys = band_keys(shingles, np.cumsum(sizes) - sizes) if len(lines) else np.empty((0, BANDS), np.int64)
         wanted = np.ones(keys.shape, bool)
         wanted[sizes <= ALONE, 1:] = False
-        keys = keys[wanted]
-        ends = np.cumsum([0 if not len(r[-1]) else 1 if len(r[-1]) <= ALONE else BANDS for r in rows])
-        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys, pa.int64()))]
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(r[5]) for r in rows]))), pa.int32())
-        lists += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]), t)) for k, t in ((5, pa.int32()), (6, pa.int32()), (7, pa.int64()))]
-        plain = [pa.array([r[0] for r in rows], kind), *(pa.array(np.array([r[k] for r in rows], np.int64)) for k in (1, 2, 3, 4))]
-        return pa.RecordBatch.from_arrays([*plain, *lists], ["doc_id", "text_hash", "start", "end", "id", "bands", "block_starts", "block_ends", "block_ids"])
+        # Blocks.
+        texts_of = np.searchsorted(begins, a, "right") - 1
+        with_blocks = np.flatnonzero(n_words >= BLOCK)
+        found = anchors_of_texts(hashes, first[with_blocks], n_words[with_blocks]) if len(with_blocks) else np.empty(0, np.int64)
+        text = np.searchsorted(begins, starts[found], "right") - 1
+        n_found = np.bincount(text, minlength=len(texts))[with_blocks]
+        digests = np.zeros(len(texts), np.int64)
+        for k in np.union1d(texts_of, with_blocks).tolist():
+            digests[k] = signed(xxhash.xxh64_intdigest(texts[k], 42))
+        rows, none = np.concatenate([texts_of, with_blocks]), np.full(len(with_blocks), -1)
+        lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
+        empty, no_blocks = np.zeros(len(with_blocks), np.int64), np.zeros(len(lines), np.int64)
+        of_blocks = [lists(np.concatenate([no_blocks, n_found]), pa.array(x, t)) for x, t in ((place(starts[found], text), pa.int32()), (place(ends[found + BLOCK - 1], text), pa.int32()), (block_names(hashes, found), pa.int64()))]
+        plain_columns = [np.concatenate(x) for x in ((place(a, texts_of), none), (place(b, texts_of), none), (names, empty))]
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(rows)), pa.array(digests[rows]), *map(pa.array, plain_columns), lists(np.concatenate([wanted.sum(axis=1), empty]), pa.array(keys[wanted])), *of_blocks],
+            ["doc_id", "text_hash", "start", "end", "id", "bands", "block_starts", "block_ends", "block_ids"],
+        )
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            held, size = [], 0
-            for row in rows_of(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(row)
-                size += len(row[-1])
-                if size >= PART:
-                    yield pack(held, batch.column(0).type)
-                    held, size = [], 0
-            if held:
-                yield pack(held, batch.column(0).type)
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            begin = size = 0
+            for k, x in enumerate(texts):
+                if size and size + len(x) > TEXTS:
+                    yield pack(batch.column(0).slice(begin, k - begin), texts[begin:k])
+                    begin, size = k, 0
+                size += len(x)
+            if texts:
+                yield pack(batch.column(0).slice(begin), texts[begin:])
 
     rows = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(work, f"doc_id {kind}, text_hash long, start long, end long, id long, bands array<long>, block_starts array<int>, block_ends array<int>, block_ids array<long>")
 
 
+def spaced_lines(text: bytes, min_words: int) -> list[bytes]:
+    """The lines of so many words, lower-cased, with one space between words."""
+    low = text.lower()
+    if b"  " in low or len(low) != len(low.translate(None, b"\t\x0b\x0c\r")):
+        return [b" ".join(words) for words in map(bytes.split, low.split(b"\n")) if len(words) >= min_words]
+    return [line for x in low.split(b"\n") if (line := x.strip(b" ")) and line.count(b" ") >= min_words - 1]
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (id, shingles) of the paragraphs in ``ids``, from a second scan of the texts.
 
@@ -231,11 +284,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str = "text", min_words:
     @tidy
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            split = (data.split() for value in batch.column(0).to_pylist() for data in (value or "").encode().lower().split(b"\n"))
-            found = [(signed(xxhash.xxh3_64_intdigest(line)), line) for line in (b" ".join(words) for words in split if len(words) >= min_words)]
+            found = [line for value in batch.column(0).cast(pa.binary()).to_pylist() for line in spaced_lines(value or b"", min_words)]
             for at in range(0, len(found), 5000):
                 part = found[at : at + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.binary())], ["id", "line"])
+                names = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(part, pa.binary())], ["id", "line"])
 
     @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,6 +404,17 @@ def extension(own: str, other: str, back: bool) -> int:
     return 0 if not n else len(own) - places[n - 1][0] if back else places[n - 1][1]
 
 
+def extends_whole() -> Column:
+    """Whether a block (left, own, right) equals the first one (f_left, f_own, f_right) letter by letter and both its sides go into the run as they are.
+
+    Most do.  Sides begin and end with a word, so ``extension`` is then their length.
+    """
+    ends_so, begins_so = (lambda c: F.endswith("f_left", F.concat(F.lit(c), "left"))), (lambda c: F.startswith("f_right", F.concat("right", F.lit(c))))
+    back = (F.col("left") == "") | (F.col("left") == F.col("f_left")) | ends_so(" ") | ends_so("\n")
+    on = (F.col("right") == "") | (F.col("right") == F.col("f_right")) | begins_so(" ") | begins_so("\n")
+    return F.coalesce((F.col("own") == F.col("f_own")) & back & on, F.lit(False))
+
+
 def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``repeated_blocks`` with run_start and run_end, from a second scan of the texts that have any.
 
@@ -358,7 +422,8 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
     reach back into the block that stays of the same text.
     """
     names = ["start", "end", "component", "occurrences", "documents", "first_doc", "removed"]
-    each = blocks.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct(*names))).alias("seeds"))
+    columns, sides = ["doc_id", "text_hash", *names], ["left", "own", "right", "f_left", "f_own", "f_right"]
+    each = blocks.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct(*names)).alias("seeds"))
     each = keep(each, "seeds-of")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).alias("text"))
     # Texts that certainly have no block are not shuffled.
@@ -373,24 +438,27 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
             sizes = np.asarray(pc.list_value_length(batch.column(3)))
             seeds = dict(zip(names, batch.column(3).flatten().flatten(), strict=True))
             starts, ends, removed = (seeds[c].to_pylist() for c in ("start", "end", "removed"))
-            sides, at = [], 0
+            texts, at = [], 0
             for value, n in zip(batch.column(2).to_pylist(), sizes.tolist(), strict=True):
-                sides += surroundings(value, starts[at : at + n], ends[at : at + n], removed[at : at + n])
+                texts += surroundings(value, starts[at : at + n], ends[at : at + n], removed[at : at + n])
                 at += n
             rows_ = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            texts = [pa.array(x, pa.string()) for x in zip(*sides, strict=True)] or [pa.array([], pa.string())] * 3
+            texts = [pa.array(x, pa.string()) for x in zip(*texts, strict=True)] or [pa.array([], pa.string())] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), batch.column(1).take(rows_), *seeds.values(), *texts], ["doc_id", "text_hash", *names, "left", "own", "right"])
 
     @tidy
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 1024):
+            plainly = pc.is_valid(batch.column("run_start"))
+            yield batch.filter(plainly).select([*columns, "run_start", "run_end"])
+            batch = batch.filter(pc.invert(plainly))
             starts, ends, same = [], [], []
-            for start, end, stay, left, own, right, before, other, after in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "stay", "left", "own", "right", "f_left", "f_own", "f_right")), strict=True):
+            for start, end, stay, left, own, right, before, other, after in zip(*(batch.column(c).to_pylist() for c in ("start", "end", "stay", *sides)), strict=True):
                 same.append(own == other or own.encode().lower().split() == (other or "").encode().lower().split())
                 start_ = start - extension(left, before or "", True)
                 starts.append(start_ if stay is None else max(start_, min(start, stay)))
                 ends.append(end + extension(right, after or "", False))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:9], pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*batch.schema.names[:9], "run_start", "run_end"])
+            out = pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], [*columns, "run_start", "run_end"])
             yield out.filter(pa.array(same, pa.bool_()))
 
     around = keep(rows.mapInArrow(look, plain + ", left string, own string, right string"), "around")
@@ -400,8 +468,13 @@ def runs(docs: DataFrame, blocks: DataFrame, doc_id: str = "doc_id", text: str =
     forget(blocks)
     paired = with_group(around.filter("removed"), keep(firsts, "firsts"), ["component"], "n", total)
     paired = paired.withColumn("stay", F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("text_hash") == F.col("f_hash")), F.col("f_end")))
-    columns = ["doc_id", "text_hash", *names]
-    long = paired.select(*columns, "stay", "left", "own", "right", "f_left", "f_own", "f_right").mapInArrow(extend, plain + ", run_start long, run_end long")
+    # Only the texts of other blocks go to Python.
+    paired = paired.withColumn("plainly", extends_whole())
+    reach = F.col("start") - F.char_length("left")
+    reach = F.when(F.col("stay").isNull(), reach).otherwise(F.greatest(reach, F.least("start", "stay")))
+    texts = [F.when(~F.col("plainly"), F.col(c)).alias(c) for c in sides]
+    long = paired.select(*columns, "stay", *texts, F.when(F.col("plainly"), reach).alias("run_start"), F.when(F.col("plainly"), F.col("end") + F.char_length("right")).alias("run_end"))
+    long = long.mapInArrow(extend, plain + ", run_start long, run_end long")
     kept = around.filter("not removed").select(*columns, F.col("start").alias("run_start"), F.col("end").alias("run_end"))
     return long.unionByName(kept).withColumn("block", F.lit(True))
 

@@ -5,11 +5,12 @@ from collections import Counter, defaultdict
 
 import helpers as H
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rainloom.llm import buckets, components, near_copies, paragraph_dedup, queries, simhash
+from rainloom.llm import buckets, components, near_copies, paragraph_dedup, queries, simhash, words
 
 
 def hamming_groups(values, most=2):
@@ -439,3 +440,58 @@ def test_equal_rows_count_places_once(spark):
     one = paragraph_dedup.remove_repeats(H.documents(spark, once)).select(*columns).collect()
     three = paragraph_dedup.remove_repeats(H.documents(spark, once[:3] * 3 + once[3:] + once[4:])).select(*columns).collect()
     assert {str(r) for r in one} == {str(r) for r in three} and len(three) == 12 and any(r.n_blocks for r in one)
+
+
+def test_word_hashes_are_those_of_the_library():
+    rng = random.Random(51)
+    own = [bytes(rng.choice(b"abcXYZ09.,\x00\x7f\x80\xc3\xff") for _ in range(n)) for n in range(1, 300) for _ in range(4)]
+    data = np.frombuffer(b"\n ".join(own) + bytes([32] * words.PADDING), np.uint8)
+    starts, ends = words.word_edges(data)
+    assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == own
+    assert words.word_hashes(data, starts, ends).tolist() == [xxhash.xxh3_64_intdigest(x) for x in own]
+
+
+def test_first_scan_hashes_words_together(spark, monkeypatch):
+    rng = random.Random(52)
+    end = lambda: rng.choice([" "] * 9 + ["  ", "\n", "\t", " \r\n", "\x0b"])
+    word = lambda kinds: rng.choice(["w", "É", "ÄB\U0001f600", "x" * 20]) + str(rng.randrange(kinds))
+    texts = ["".join(word(kinds) + end() for _ in range(n)) for n in (1, 4, 5, 14, 15, 16, 35, 36, 37, 300) for kinds in (1, 3, 10**6) for _ in range(6)] + [None, "", "\n", " \n a"]
+    docs, seen = H.docs_of(spark, texts), []
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, work, schema: work)
+        work = paragraph_dedup.paragraphs(docs)
+        m.setattr(xxhash, "xxh3_64_intdigest", lambda x, f=xxhash.xxh3_64_intdigest: seen.append(x) or f(x))
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+        rows = [tuple(r.values()) for b in work(iter([batch])) for r in b.to_pylist()]
+    want, n_long, signed = [], 0, paragraph_dedup.signed
+    for i, t in enumerate(texts):
+        digest, at, own = signed(xxhash.xxh64_intdigest(t or "", 42)), 0, (t or "").encode().lower().split()
+        n_long += sum(len(w) > 16 for w in own)
+        for x in (t or "").split("\n"):
+            line = x.encode().lower().split()
+            if len(line) >= 5:
+                hashes = paragraph_dedup.ordered_hashes(line)
+                bands = paragraph_dedup.band_keys(hashes, np.array([0]))[0].tolist()[: 1 if len(hashes) <= paragraph_dedup.ALONE else None]
+                start = at + len(x) - len(x.lstrip(paragraph_dedup.BLANK))
+                want.append((i, digest, start, at + len(x.rstrip(paragraph_dedup.BLANK)), signed(xxhash.xxh3_64_intdigest(b" ".join(line))), bands, [], [], []))
+            at += len(x) + 1
+        if len(own) >= paragraph_dedup.BLOCK:
+            first, names = paragraph_dedup.blocks(paragraph_dedup.ordered_hashes(own))
+            starts, ends = paragraph_dedup.word_spans(t)
+            want.append((i, digest, -1, -1, 0, [], starts[first].tolist(), ends[first + paragraph_dedup.BLOCK - 1].tolist(), names.tolist()))
+    assert sorted(rows) == sorted(want)
+    assert len(seen) == sum(r[2] >= 0 for r in rows) + n_long
+
+
+def test_blocks_that_extend_whole(spark):
+    sides = ["", "b", "a b", "xa b", "x a b", "x\na b", "x\ta b", "A b", "x a  b", "É a b"]
+    block = lambda left, right, own="o p": (left and left + " ", own, right and " " + right)
+    pairs = [block(a, "") + block(b, "") for a in sides for b in sides] + [block("", a[::-1]) + block("", b[::-1]) for a in sides for b in sides]
+    pairs += [block("a", "b") + block("a", "b", "O p"), block("a", "b") + block("z a", "b z"), block("a", "b") + (None, None, None)]
+    df = spark.createDataFrame(pairs, "left string, own string, right string, f_left string, f_own string, f_right string")
+    whole = {tuple(r)[:6] for r in df.filter(paragraph_dedup.extends_whole()).collect()}
+    for p in pairs:
+        left, own, right, before, other, after = p
+        reaches = own == other and paragraph_dedup.extension(left, before, True) == len(left) and paragraph_dedup.extension(right, after, False) == len(right)
+        assert reaches or p not in whole
+    assert {block("a b", "") + block("x\na b", ""), block("a b", "") + block("a b", ""), block("a", "b") + block("z a", "b z")} <= whole
